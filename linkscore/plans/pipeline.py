@@ -1,0 +1,91 @@
+"""End to end: pages and keywords or targets to scored items, catalog and ranked links."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from linkscore.operators import catalog, rank
+from linkscore.operators.links import extract_links, link_items, malformed_links, with_keywords
+from linkscore.operators.providers import Similarity
+from linkscore.operators.score import score_links
+from linkscore.sources import robots, targets as tg
+from linkscore.sources.pages import page_errors, valid_pages
+
+DEFAULT_CONTAINERS = ("body",)
+
+
+def scored_items(
+    pages: DataFrame,
+    keywords: Sequence[str],
+    containers: Sequence[str] = DEFAULT_CONTAINERS,
+    similarity: Similarity | None = None,
+) -> DataFrame:
+    """Every link of every valid page, scored for every keyword of the list."""
+    links = extract_links(valid_pages(pages), containers)
+    return score_links(link_items(with_keywords(links, keywords)), similarity)
+
+
+def ranked_links(
+    pages: DataFrame, keywords: Sequence[str], similarity: Similarity | None = None
+) -> DataFrame:
+    """Ranked links per page and keyword, straight from the pages."""
+    best = rank.best_links(scored_items(pages, keywords, similarity=similarity))
+    return rank.rank_links(best)
+
+
+@dataclass
+class Run:
+    """Outputs of :func:`run`; all lazy."""
+
+    items: DataFrame
+    errors: DataFrame
+
+
+def run(
+    pages: DataFrame,
+    targets: DataFrame,
+    robots_files: DataFrame | None = None,
+    containers: Sequence[str] = DEFAULT_CONTAINERS,
+    similarity: Similarity | None = None,
+) -> Run:
+    """Scored items of all targets, and the error records of what could not be processed.
+
+    ``targets`` is ``(url, keyword[, container])``. Rules of ``robots_files`` are applied before
+    parsing when they are small, and otherwise to the links: markup is never shuffled.
+    """
+    targets = tg.with_default_container(targets)
+    wanted = tg.pages_of_targets(pages, targets)
+    valid = valid_pages(wanted)
+    errors = [tg.target_errors(targets, containers), page_errors(wanted)]
+
+    if robots_files is None:
+        links = extract_links(valid, containers)
+        allowed = valid
+    else:
+        rules = robots.agent_rules(robots_files)
+        small = robots.rules_are_small(rules)
+        decided = robots.with_decision(valid.select("page_id", "url"), rules, small)
+        errors.append(robots.robots_errors(decided))
+        if small:
+            allowed = robots.with_decision(valid, rules, small).filter("allowed").drop("allowed")
+            links = extract_links(allowed, containers)
+        else:
+            allowed = valid
+            refused = decided.filter(~F.col("allowed")).select("page_id")
+            links = extract_links(valid, containers).join(refused, "page_id", "left_anti")
+
+    errors.append(malformed_links(allowed, containers))
+    items = score_links(link_items(tg.links_of_targets(links, targets)), similarity)
+    all_errors = errors[0]
+    for more in errors[1:]:
+        all_errors = all_errors.unionByName(more)
+    return Run(items, all_errors)
+
+
+def store(run_output: Run, path: str, batch_id: int) -> None:
+    """Upsert the scored items into the catalog at ``path``."""
+    catalog.append_batch(catalog.catalog_rows(run_output.items), path, batch_id)
