@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkscore.storage import shared_folder
+
 # At most this many keys are treated as hot: their rows on the unique side of a join are broadcast.
 MAX_HOT_KEYS = 1000
 # A key with fewer rows than this fits a task and is not treated as hot.
@@ -59,25 +61,13 @@ def lookup_join(
 
 
 def checkpointed(table: DataFrame) -> DataFrame:
-    """Materialized in the cluster's checkpoint folder; set one here only where none is set."""
-    _ensure_checkpoint_dir(table.sparkSession)
+    """Materialized in the shared checkpoint folder; survives the loss of executors."""
+    context = table.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(table.sparkSession))
     return table.checkpoint(eager=True)
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="linkscore-checkpoint-")
-    context.setCheckpointDir(shared)
-
-
 def row_number_in_group(
     table: DataFrame,
     group: Sequence[str],
