@@ -37,13 +37,14 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _ratio(dot: Column, norm2_a: Column, norm2_b: Column) -> Column:
+    """``dot`` over the norms, 0 for a zero norm; every argument appears, and is computed, once."""
     norms = F.sqrt(norm2_a.cast("double")) * F.sqrt(norm2_b.cast("double"))
-    return F.when(norms > 0, dot / norms).when(norms == 0, 0.0)
+    return F.coalesce(F.try_divide(dot.cast("double"), norms), F.lit(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two numeric arrays; 0 when one of them has no length."""
-    return _ratio(_dot(a, b), _dot(a, a), _dot(b, b))
+    """Cosine of two numeric arrays; 0 when one of them has no length, null when one is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), _ratio(_dot(a, b), _dot(a, a), _dot(b, b)))
 
 
 def term_norm2(token_array: Column) -> Column:
@@ -67,7 +68,7 @@ def term_norm2(token_array: Column) -> Column:
 
 
 def term_dot(text_tokens: Column, keyword_tokens: Column) -> Column:
-    """Dot product of two term-frequency vectors: for each keyword token, its count in the text."""
+    """Dot product of term-frequency vectors: for each keyword token, its count in the text."""
     return F.aggregate(
         keyword_tokens,
         F.lit(0).cast("bigint"),
@@ -77,6 +78,7 @@ def term_dot(text_tokens: Column, keyword_tokens: Column) -> Column:
 
 def term_cosine(text_tokens: Column, keyword_tokens: Column) -> Column:
     """Cosine of term-frequency vectors; no explode and no join, the work stays in the row."""
-    return _ratio(
+    value = _ratio(
         term_dot(text_tokens, keyword_tokens), term_norm2(text_tokens), term_norm2(keyword_tokens)
     )
+    return F.when(text_tokens.isNotNull() & keyword_tokens.isNotNull(), value)

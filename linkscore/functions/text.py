@@ -24,7 +24,9 @@ SCRIPT_NOTICES = (
 WORDS_BEFORE = 3
 WORDS_AFTER = 3
 
-_SPACES = "[" + WHITESPACE + "]+"
+# The same set for splitting: Unicode white space and the four separators it leaves out. A class
+# of the single characters matches the same and takes twice the time.
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def trim_spaces(text: Column) -> Column:
@@ -70,11 +72,11 @@ def last_position(token_array: Column, keyword: Column) -> Column:
     return F.when(from_end > 0, F.size(token_array) - from_end.cast("int"))
 
 
-def window_at(token_array: Column, position: Column) -> Column:
-    """Tokens around ``position`` (three on each side, clipped at the ends), joined by a space."""
+def window_tokens(token_array: Column, position: Column) -> Column:
+    """Tokens around ``position``: three on each side, clipped at the ends."""
     start = F.greatest(position - WORDS_BEFORE, F.lit(0))
     length = position + WORDS_AFTER + 1 - start
-    return F.array_join(F.slice(token_array, start + 1, length), " ")
+    return F.slice(token_array, start + 1, length)
 
 
 def context_window(token_array: Column, keyword: Column) -> Column:
@@ -83,4 +85,4 @@ def context_window(token_array: Column, keyword: Column) -> Column:
     Every hit overwrites the score of the one before, so only the last window can matter: one
     window per row instead of one per hit.
     """
-    return window_at(token_array, last_position(token_array, keyword))
+    return F.array_join(window_tokens(token_array, last_position(token_array, keyword)), " ")

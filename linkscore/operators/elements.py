@@ -5,9 +5,8 @@ Spark has no HTML tokenizer, so the markup of a page is walked with the standard
 turns it into one row per element. Everything after that (context, metadata, link order, first
 mentions, text assembly) is DataFrame work on the element rows.
 
-The UDF sees only the markup; all other columns stay in the JVM. Being a scalar UDF it also keeps
-the partitioning of its input: pages that are bucketed or partitioned by ``page_id`` need no
-shuffle for the windows that follow.
+The UDF sees only the markup; all other columns stay in the JVM. Arrow batches are bounded in bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``), so large pages do not pile up in a worker.
 """
 
 from __future__ import annotations
@@ -68,7 +67,7 @@ class _PageReader(HTMLParser):
         self._open_count = {}
         self._scopes = [] if container else [0]
         self._headings = []
-        self._tags_seen = 0
+        self._tags_seen = self._hidden = self._preformatted = 0
         self._block = None  # the block that opened last
         self._awaiting_block = False  # a link waits for the block that opens next
 
@@ -79,6 +78,9 @@ class _PageReader(HTMLParser):
         self._close_down_to(0)
         return self.found
 
+    def updatepos(self, i, j):
+        return j  # line numbers are of no use here
+
     # -- text -------------------------------------------------------------------------------
 
     def handle_data(self, data):
@@ -102,9 +104,9 @@ class _PageReader(HTMLParser):
         if self._pending:
             text = "".join(self._pending)
             self._pending.clear()
-            if self._any_open(HIDDEN_TAGS):
+            if self._hidden:
                 return
-            if not text.strip(" \n\t\f\r") and not self._any_open(PREFORMATTED_TAGS):
+            if not self._preformatted and not text.strip(" \n\t\f\r"):
                 text = "\n" if "\n" in text else " "
             self.segments.append(text)
 
@@ -121,9 +123,6 @@ class _PageReader(HTMLParser):
 
     # -- structure --------------------------------------------------------------------------
 
-    def _any_open(self, tags):
-        return any(self._open_count.get(t) for t in tags)
-
     def handle_starttag(self, tag, attrs):
         self._start(tag, attrs)
         if tag in VOID_TAGS:
@@ -153,6 +152,9 @@ class _PageReader(HTMLParser):
             self._scopes.append(self._tags_seen)
         if tag in HEADING_TAGS:
             self._headings.append(element)
+        else:
+            self._hidden += tag in HIDDEN_TAGS
+            self._preformatted += tag in PREFORMATTED_TAGS
 
     def _element(self, tag, attrs):
         """Element to report for this start tag, or None."""
@@ -186,6 +188,9 @@ class _PageReader(HTMLParser):
                 self._scopes.pop()
             if tag in HEADING_TAGS:
                 self._headings.pop()
+            else:
+                self._hidden -= tag in HIDDEN_TAGS
+                self._preformatted -= tag in PREFORMATTED_TAGS
             if element is not None:
                 element.end, element.last = self._tags_seen + 1, len(self.segments)
 

@@ -1,9 +1,9 @@
 """Elements to link records: context, metadata, link order, first mentions, text assembly.
 
-One shuffle at most, of the element rows by page; every window below partitions by the page and
-so shares it. A page is one row of the input, so a window never holds more than one document
-however many pages a site or a URL has. Where the pages are already partitioned by ``page_id``
-(bucketed table, or :func:`linkscore.sources.pages.read_pages` on a small input) there is none.
+One shuffle, of slim element rows by page; every window below partitions by the page and so shares
+it. Markup and article text are gone by then: of the blocks only the neighbours of a link are left.
+A page is one row of the input, so a window never holds more than one document, however many pages
+a site or a URL has.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from linkscore.functions import similarity as sim
 from linkscore.functions import text as tx
-from linkscore.operators.skew import HOT_ROWS, checkpointed, lookup_join
+from linkscore.operators.skew import HOT_ROWS, lookup_join
+from linkscore.storage import materialized
 
 Encoder = Callable[[list[str]], "list[list[float]]"]
 
@@ -29,19 +30,27 @@ SENTENCE_MODEL = "all-MiniLM-L6-v2"
 
 
 class Similarity(Protocol):
-    def attach(self, table: DataFrame, left: str, right: str, name: str) -> DataFrame:
-        """``table`` with the similarity of columns ``left`` and ``right`` as ``name``."""
+    def attach(
+        self, table: DataFrame, left: str, right: str, name: str, left_tokens: str | None = None
+    ) -> DataFrame:
+        """``table`` with the similarity of columns ``left`` and ``right`` as ``name``.
+
+        ``left_tokens`` may name a column that already holds the tokens of ``left``.
+        """
 
 
 class LexicalSimilarity:
     """Cosine of term frequencies of the lowercased tokens; 0 for a text without tokens."""
 
-    def attach(self, table: DataFrame, left: str, right: str, name: str) -> DataFrame:
-        terms = tx.tokens(F.col(left)), tx.tokens(F.col(right))
-        prepared = table.withColumns({"_left_terms": terms[0], "_right_terms": terms[1]})
-        both = F.col("_left_terms").isNotNull() & F.col("_right_terms").isNotNull()
-        value = F.when(both, sim.term_cosine(F.col("_left_terms"), F.col("_right_terms")))
-        return prepared.withColumn(name, value).drop("_left_terms", "_right_terms")
+    def attach(
+        self, table: DataFrame, left: str, right: str, name: str, left_tokens: str | None = None
+    ) -> DataFrame:
+        terms = F.col(left_tokens) if left_tokens else tx.tokens(F.col(left))
+        prepared = table.withColumns(
+            {"_left_terms": terms, "_right_terms": tx.tokens(F.col(right))}
+        )
+        similarity = sim.term_cosine(F.col("_left_terms"), F.col("_right_terms"))
+        return prepared.withColumn(name, similarity).drop("_left_terms", "_right_terms")
 
 
 class VectorSimilarity:
@@ -59,21 +68,24 @@ class VectorSimilarity:
         vectors = self.embeddings.select(F.col("text_key").alias(key), F.col("vec").alias(name))
         return lookup_join(table, vectors, key, self.hot_rows)
 
-    def attach(self, table: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    def attach(
+        self, table: DataFrame, left: str, right: str, name: str, left_tokens: str | None = None
+    ) -> DataFrame:
         pair_key = F.when(
             F.col(left).isNotNull() & F.col(right).isNotNull(),
             F.concat(text_key(F.col(left)), text_key(F.col(right))),
         )
-        # Each of the tables below is used several times by the joins; computing them once into
-        # the checkpoint folder is cheaper than extracting and scoring the links again.
-        keyed = checkpointed(table.withColumn("_pair", pair_key))
+        # Both tables below are read several times by the joins; writing them down is cheaper than
+        # extracting and scoring the links again.
+        keyed = materialized(table.withColumn("_pair", pair_key), "keyed")
         pairs = keyed.select("_pair").filter(F.col("_pair").isNotNull()).distinct()
-        split = checkpointed(
+        split = materialized(
             pairs.select(
                 "_pair",
                 F.substring("_pair", 1, 32).alias("_left"),
                 F.substring("_pair", 33, 32).alias("_right"),
-            )
+            ),
+            "pairs",
         )
         with_left = self._vectors(split, "_left", "_left_vec")
         with_both = self._vectors(with_left, "_right", "_right_vec")

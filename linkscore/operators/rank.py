@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkscore.operators.skew import HOT_ROWS, row_number_in_group
+from linkscore.storage import materialized
 
 TARGET = ("source_url", "keyword")
 # Rows of a target's result are listed in chunks of this size, so that no row grows with the data.
@@ -32,9 +34,17 @@ def best_links(scored_items: DataFrame) -> DataFrame:
 
 
 def rank_links(best: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rank within the target: best score first, equal scores in the order first seen."""
-    order = [F.desc("score"), F.asc("first_seq"), F.asc("href_url")]
-    return row_number_in_group(best, TARGET, order, "rank", hot_rows)
+    """Rank within the target: best score first, equal scores in the order first seen.
+
+    The best links are written down first: they are few and narrow next to the pages they come
+    from, and both the look at the group sizes and the ranking read them.
+    """
+    table = materialized(best.select(*TARGET, "href_url", "score", "first_seq"), "best")
+    return row_number_in_group(table, TARGET, _order(), "rank", hot_rows)
+
+
+def _order() -> list[Column]:
+    return [F.desc("score"), F.asc("first_seq"), F.asc("href_url")]
 
 
 def top_links(best: DataFrame, k: int, salts: int = 32) -> DataFrame:
@@ -43,15 +53,11 @@ def top_links(best: DataFrame, k: int, salts: int = 32) -> DataFrame:
     Each target is first cut to ``k`` rows in up to ``salts`` parts, so the final window sees at
     most ``k * salts`` rows of any target.
     """
-    order = [F.desc("score"), F.asc("first_seq"), F.asc("href_url")]
-    part = F.pmod(F.xxhash64("href_url"), F.lit(salts))
-    parts = best.withColumn("_part", part)
-    from pyspark.sql.window import Window
-
-    in_part = F.row_number().over(Window.partitionBy(*TARGET, "_part").orderBy(*order))
+    parts = best.withColumn("_part", F.pmod(F.xxhash64("href_url"), F.lit(salts)))
+    in_part = F.row_number().over(Window.partitionBy(*TARGET, "_part").orderBy(*_order()))
     leading = parts.withColumn("rank", in_part).filter(F.col("rank") <= k).drop("_part", "rank")
-    in_target = F.row_number().over(Window.partitionBy(*TARGET).orderBy(*order)).cast("bigint")
-    return leading.withColumn("rank", in_target).filter(F.col("rank") <= k)
+    in_target = F.row_number().over(Window.partitionBy(*TARGET).orderBy(*_order()))
+    return leading.withColumn("rank", in_target.cast("bigint")).filter(F.col("rank") <= k)
 
 
 def scrape_results(ranked: DataFrame, per_chunk: int = RESULTS_PER_CHUNK) -> DataFrame:

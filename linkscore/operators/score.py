@@ -15,7 +15,20 @@ from linkscore.functions import text as tx
 from linkscore.functions import urls as ux
 from linkscore.operators.providers import LexicalSimilarity, Similarity
 
-_SCORE_COLUMNS = ("exact", "semantic_sim", "context_text", "context_sim", "context_score")
+_SCORE_COLUMNS = (
+    "exact", "semantic_sim", "context_text", "context_sim", "context_score", "score",
+)
+
+
+def computed_once(table: DataFrame, *columns: str) -> DataFrame:
+    """``table`` with these columns shielded from filters that come later.
+
+    The optimizer pushes a filter below the projections its columns come from and repeats their
+    expressions there; for a score that is the whole computation, many times over. It does not
+    push a filter below the generator its columns come from. One row in, one row out, no shuffle.
+    """
+    others = [c for c in table.columns if c not in columns]
+    return table.select(*others, F.inline(F.array(F.struct(*columns))))
 
 
 def score_text(
@@ -30,18 +43,23 @@ def score_text(
     counts only when some token equals the keyword, and then for its last occurrence.
     """
     similarity = similarity or LexicalSimilarity()
-    lowered_keyword = F.lower(F.col(keyword))
-    token_array = tx.tokens(F.col(text))
-    prepared = table.withColumns({
-        "_keyword": lowered_keyword,
+    prepared = table.withColumns(
+        {"_tokens": tx.tokens(F.col(text)), "_keyword": F.lower(F.col(keyword))}
+    )
+    located = prepared.withColumns({
         "exact": sim.exact_match(F.col(text), F.col(keyword)),
-        "context_text": tx.context_window(token_array, lowered_keyword),
+        "_position": tx.last_position(F.col("_tokens"), F.col("_keyword")),
     })
-    with_text = similarity.attach(prepared, text, "_keyword", "semantic_sim")
-    with_both = similarity.attach(with_text, "context_text", "_keyword", "context_sim")
-    return with_both.withColumn("context_score", context_score()).withColumn(
+    windowed = located.withColumn("_window", tx.window_tokens(F.col("_tokens"), F.col("_position")))
+    named = windowed.withColumn("context_text", F.array_join("_window", " "))
+    with_text = similarity.attach(named, text, "_keyword", "semantic_sim", "_tokens")
+    with_both = similarity.attach(with_text, "context_text", "_keyword", "context_sim", "_window")
+    scored = with_both.withColumn("context_score", context_score()).withColumn(
         "score", combined_score()
-    ).drop("_keyword")
+    )
+    return computed_once(
+        scored.drop("_tokens", "_keyword", "_position", "_window"), *_SCORE_COLUMNS
+    )
 
 
 def context_score() -> Column:
@@ -78,7 +96,7 @@ def score_links(items: DataFrame, similarity: Similarity | None = None) -> DataF
     """
     scored = score_text(items, similarity=similarity)
     record = analysis(F.col("keyword"), F.col("source_url"), F.col("href"), F.col("score"))
-    return scored.withColumn("relevance_analysis", record).drop(*_SCORE_COLUMNS, "score")
+    return scored.withColumn("relevance_analysis", record).drop(*_SCORE_COLUMNS)
 
 
 def unscored(items: DataFrame) -> DataFrame:

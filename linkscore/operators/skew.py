@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkscore.storage import shared_folder
+from linkscore.storage import materialized
 
 # At most this many keys are treated as hot: their rows on the unique side of a join are broadcast.
 MAX_HOT_KEYS = 1000
@@ -60,14 +60,6 @@ def lookup_join(
     return frequent.unionByName(rest)
 
 
-def checkpointed(table: DataFrame) -> DataFrame:
-    """Materialized in the shared checkpoint folder; survives the loss of executors."""
-    context = table.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(table.sparkSession))
-    return table.checkpoint(eager=True)
-
-
 def row_number_in_group(
     table: DataFrame,
     group: Sequence[str],
@@ -82,7 +74,8 @@ def row_number_in_group(
     and shifted by the group's rows in the slices before. At most one group per slice continues
     from an earlier slice, so there are fewer offsets than slices and they can be broadcast.
 
-    ``order`` must be total within the group. ``table`` is read several times.
+    ``order`` must be total within the group. ``table`` is read several times: hand in a table, not
+    a long computation.
     """
     plain = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
     large = table.groupBy(*group).count().filter(F.col("count") > hot_rows).select(*group)
@@ -95,8 +88,8 @@ def row_number_in_group(
         ordinary, slicing = None, table
 
     ranged = slicing.repartitionByRange(*group, *order)
-    # The slice of a row must not change between the two uses below, hence the checkpoint.
-    sliced = checkpointed(ranged.withColumn("_slice", F.spark_partition_id()))
+    # The slice of a row must not change between the two uses below, so it is written down.
+    sliced = materialized(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
     in_slice = Window.partitionBy("_slice", *group).orderBy(*order)
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1

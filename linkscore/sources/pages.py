@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages ``(page_id, url, html)`` from Parquet.
 
-    An input with fewer scan splits than cores (a small or unsplittable file) is spread by
-    ``page_id``, which the later windows then find in place. Anything larger is read as it lies:
-    markup is the bulk of the data and is never shuffled.
+    An input with fewer scan splits than cores (a small or unsplittable file) is spread over them.
+    Anything larger is read as it lies: markup is the bulk of the data and is never shuffled.
     """
     pages = spark.read.parquet(path).select("page_id", "url", "html")
     return spread_if_narrow(pages, "page_id")

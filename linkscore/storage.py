@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -29,3 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(table: DataFrame, name: str) -> DataFrame:
+    """``table``, computed now and read back from the shared folder.
+
+    For results that several later steps read. A written table cuts the lineage, outlives executors
+    and, being columnar, lets each reader scan only the columns it needs.
+    """
+    folder = new_folder(table.sparkSession, name)
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
