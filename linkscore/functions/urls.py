@@ -72,16 +72,14 @@ def domain_component(url: Column) -> Column:
     return F.nullif(domain, F.lit(""))
 
 
-def path_words(url: Column) -> Column:
-    """Words of the path (split at ``/`` and ``-``) without the generic ones; case is kept."""
-    parts = F.split(url_path(url), "[/-]")
+def meaningful_words(path: Column) -> Column:
+    """Words of a path (split at ``/`` and ``-``) without the generic ones; case is kept."""
+    parts = F.split(path, "[/-]")
     return F.filter(parts, lambda w: (w != "") & ~F.lower(w).isin(*GENERIC_PATH_WORDS))
 
 
-def url_components(url: Column, with_domain: Column) -> Column:
-    """Domain (only where ``with_domain`` holds) followed by the path words."""
-    domain = F.when(with_domain, domain_component(url))
-    return F.concat(F.array_compact(F.array(domain)), path_words(url))
+def path_words(url: Column) -> Column:
+    return meaningful_words(url_path(url))
 
 
 def url_tokens(url: Column) -> Column:

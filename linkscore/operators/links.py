@@ -135,13 +135,17 @@ def _present(*parts: Column) -> Column:
     return F.array_remove(F.array_compact(F.array(*parts)), "")
 
 
-def processed_text(first_mention: Column) -> Column:
-    """All the text known about a link: ordered, without repeats, joined by a space."""
+def processed_text() -> Column:
+    """All the text known about a link: ordered, without repeats, joined by a space.
+
+    The domain of the target is part of it for the first link of the page that has this domain.
+    """
     parts = F.concat(
         _present(*(F.col(c) for c in (
             "text", "title", "aria_label", "rel", "page_title", "page_description",
         ))),
-        ux.url_components(F.col("href"), first_mention),
+        _present(F.when(F.col("link_pos") == F.col("first_pos"), F.col("domain"))),
+        ux.meaningful_words(F.col("path")),
         _present(F.col("previous_text"), F.col("next_text")),
         F.coalesce(F.col("heading_hierarchy"), F.array().cast("array<string>")),
     )
@@ -165,8 +169,12 @@ def links_from_elements(rows: DataFrame) -> DataFrame:
     page = Window.partitionBy(*PAGE)
     numbered = scoped.withColumn(
         "link_pos", F.row_number().over(page.orderBy("scope_pos", "pos"))
-    ).withColumn("domain", ux.domain_component(F.col("href")))
-    mentions = numbered.withColumn(
+    )
+    # As columns of their own, so that the expressions reading them do not split the URL again.
+    split = numbered.withColumns(
+        {"domain": ux.domain_component(F.col("href")), "path": ux.url_path(F.col("href"))}
+    )
+    mentions = split.withColumn(
         "first_pos", F.min("link_pos").over(Window.partitionBy(*PAGE, "domain"))
     )
     return mentions.select(
@@ -183,7 +191,7 @@ def links_from_elements(rows: DataFrame) -> DataFrame:
             F.col("page_title").alias("title"), F.col("page_description").alias("description")
         ).alias("metadata"),
         F.col("url").alias("source_url"),
-        processed_text(F.col("link_pos") == F.col("first_pos")).alias("processed_text"),
+        processed_text().alias("processed_text"),
         "container",
     )
 
