@@ -19,7 +19,7 @@ from linkscore.schemas import LINK_ITEM, struct
 # Fixed value: input files a stage takes per micro-batch when not told otherwise.
 BATCH_FILES = 10
 
-CORRUPT = "_corrupt_record"
+CORRUPT = "malformed"
 
 
 def publish(items: DataFrame, queue: str) -> None:
@@ -44,7 +44,7 @@ def read_queue(
     max_files: int = BATCH_FILES,
     archive: str | None = None,
 ) -> DataFrame:
-    """Stream of a queue's items; lines that are no items come as ``_corrupt_record``.
+    """Stream of a queue's items; lines that are no items come as ``malformed``.
 
     With ``archive`` the files of finished batches are moved there, which clears the queue.
     """
