@@ -8,12 +8,17 @@ or source URL are filters on grouping keys, so they are pushed below that resolu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscore.schemas import CATALOG, struct
 
 KEY = ("keyword", "source_url", "href_url")
+CATALOG_COLUMNS = (
+    "id", "keyword", "source_url", "href_url", "relevance_score", "raw_data", "processed_date",
+)
 RESULT_COLUMNS = ("id", "keyword", "source_url", "href_url", "relevance_score", "raw_data")
 HREF_COLUMNS = ("href_url", "source_url", "keyword", "relevance_score")
 
@@ -41,7 +46,7 @@ def catalog_rows(scored_items: DataFrame) -> DataFrame:
         F.current_timestamp().alias("processed_date"),
         "seq",
     )
-    return rows.withColumn("id", row_id()).select(*struct(CATALOG).fieldNames(), "seq")
+    return rows.withColumn("id", row_id()).select(*CATALOG_COLUMNS, "seq")
 
 
 def last_per_key(rows: DataFrame, *order: str) -> DataFrame:
@@ -96,16 +101,19 @@ def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def current(stored_rows: DataFrame, keyword: str | None = None) -> DataFrame:
+def current(
+    stored_rows: DataFrame, keyword: str | None = None, columns: Sequence[str] = CATALOG_COLUMNS
+) -> DataFrame:
     """The catalog: of the stored rows, the newest of each key.
 
-    With ``keyword`` only that keyword's rows, and only its directory is read.
+    With ``keyword`` only that keyword's rows, and only its directory is read. ``columns`` limits
+    what is read; without ``raw_data`` the rows are small.
     """
     if keyword:
         in_bucket = F.col("bucket") == keyword_bucket(F.lit(keyword))
         stored_rows = stored_rows.filter(in_bucket & (F.col("keyword") == keyword))
-    newest = last_per_key(stored_rows.drop("bucket"), "batch_id", "seq")
-    return newest.select(*struct(CATALOG).fieldNames())
+    needed = stored_rows.select(*dict.fromkeys([*KEY, *columns, "batch_id", "seq"]))
+    return last_per_key(needed, "batch_id", "seq").select(*columns)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkscore.operators.skew import HOT_ROWS, row_number_in_group
+from linkscore.operators.skew import HOT_ROWS, row_number_in_group, salted_join
 from linkscore.storage import materialized
 
 TARGET = ("source_url", "keyword")
@@ -71,13 +71,12 @@ def scrape_results(ranked: DataFrame, per_chunk: int = RESULTS_PER_CHUNK) -> Dat
     chunks = (
         ranked.withColumn("chunk", chunk)
         .groupBy(*TARGET, "chunk")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"), F.max("rank").alias("_last"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     )
     counts = ranked.groupBy(*TARGET).agg(F.max("rank").alias("count"))
-    same = [chunks[c].eqNullSafe(counts[c]) for c in TARGET]
     without_rank = F.transform("entries", lambda e: F.struct(e["url"], e["score"]))
-    return chunks.join(counts, same).select(
-        *(chunks[c] for c in TARGET), "chunk", without_rank.alias("results"), "count"
+    return salted_join(chunks, counts, TARGET, F.col("chunk"), "inner").select(
+        *TARGET, "chunk", without_rank.alias("results"), "count"
     )
 
 

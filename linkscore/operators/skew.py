@@ -16,17 +16,32 @@ MAX_HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 # At most this many group keys are broadcast; beyond it all rows are numbered slice by slice.
 MAX_LARGE_GROUPS = 100_000
+# No more text than this is broadcast.
+MAX_BROADCAST_CHARS = 64_000_000
 
 
-def fits(table: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no further than that."""
-    return table.limit(max_rows + 1).count() <= max_rows
+def fits(table: DataFrame, max_rows: int, max_chars: int = MAX_BROADCAST_CHARS) -> bool:
+    """Whether a table of strings is small enough to be broadcast, by its rows and its text."""
+    chars = F.lit(0).cast("bigint")
+    for column, kind in table.dtypes:
+        if kind == "string":
+            chars = chars + F.coalesce(F.length(column), F.lit(0))
+    rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return rows <= max_rows and size <= max_chars
+
+
+def matching_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns where null equals null; the columns come out once."""
+    names = {c: f"_right_{c}" for c in on}
+    renamed = right.withColumnsRenamed(names)
+    same = [left[c].eqNullSafe(renamed[n]) for c, n in names.items()]
+    return left.join(renamed, same, how).drop(*names.values())
 
 
 def salted_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, how: str, salts: int = 16
 ) -> DataFrame:
-    """Join a large table to a small one whose keys may be hot on the large side.
+    """Join (null equals null) a large table to a smaller one whose keys may be hot on the left.
 
     The rows of one key on the left go to ``salts`` tasks, by the value of ``spread``; the right
     side is copied once per salt. Nothing is broadcast, so neither side needs a size bound.
@@ -34,7 +49,7 @@ def salted_join(
     salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     every_salt = F.explode(F.array(*(F.lit(i) for i in range(salts))))
     salted_right = right.withColumn("_salt", every_salt)
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    return matching_join(salted_left, salted_right, [*on, "_salt"], how).drop("_salt")
 
 
 def hot_keys(table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -79,11 +94,12 @@ def row_number_in_group(
     """
     plain = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint")
     large = table.groupBy(*group).count().filter(F.col("count") > hot_rows).select(*group)
-    if fits(large, 0):
+    if large.isEmpty():
         return table.withColumn(name, plain)
     if fits(large, MAX_LARGE_GROUPS):
-        ordinary = table.join(F.broadcast(large), [*group], "left_anti").withColumn(name, plain)
-        slicing = table.join(F.broadcast(large), [*group], "left_semi")
+        keys = F.broadcast(large)
+        ordinary = matching_join(table, keys, group, "left_anti").withColumn(name, plain)
+        slicing = matching_join(table, keys, group, "left_semi")
     else:
         ordinary, slicing = None, table
 
@@ -101,9 +117,9 @@ def row_number_in_group(
         .filter(F.col("_before") > 0)
         .drop("_rows")
     )
+    in_order = sliced.withColumn(name, F.row_number().over(in_slice))
     numbered = (
-        sliced.withColumn(name, F.row_number().over(in_slice))
-        .join(F.broadcast(offsets), [*group, "_slice"], "left")
+        matching_join(in_order, F.broadcast(offsets), [*group, "_slice"], "left")
         .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
         .drop("_slice", "_before")
         .select(*table.columns, name)

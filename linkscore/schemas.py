@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+PAGE = "page_id bigint, url string, html string"
+
 ELEMENT_FIELDS = (
     "pos int, end_pos int, tag string, attrs map<string,string>, text string, "
     "text_stripped string, scopes array<int>, headings array<string>"
@@ -25,8 +27,6 @@ CATALOG = (
     "raw_data string, processed_date timestamp"
 )
 
-ERROR_FIELDS = ("error", "message", "url")
-
 
 def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)

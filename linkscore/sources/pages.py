@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkscore.schemas import PAGE, struct
+
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages ``(page_id, url, html)`` from Parquet.
 
-    An input with fewer scan splits than cores (a small or unsplittable file) is spread over them.
-    Anything larger is read as it lies: markup is the bulk of the data and is never shuffled.
+    ``page_id`` is unique. An input with few scan splits for the cores there are (a small or an
+    unsplittable file) is spread over them. Anything larger is read as it lies: markup is the bulk
+    of the data and is never shuffled.
     """
     pages = spark.read.parquet(path).select("page_id", "url", "html")
     return spread_if_narrow(pages, "page_id")
 
 
+def read_page_stream(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    """Stream of the pages in a landing directory of Parquet files."""
+    reader = spark.readStream.schema(struct(PAGE)).option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
+
+
 def spread_if_narrow(table: DataFrame, key: str) -> DataFrame:
-    """Repartition a plain table scan by ``key`` only when it would leave cores idle."""
+    """Repartition a plain table scan by ``key`` only when it would leave most cores idle."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
+    if table.rdd.getNumPartitions() * 2 <= cores:
         return table.repartition(cores, key)
     return table
 

@@ -8,13 +8,15 @@ arrival order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkscore.operators import catalog
+from linkscore.operators.links import extract_links, link_items, with_keywords
 from linkscore.schemas import LINK_ITEM, struct
+from linkscore.sources.pages import page_errors, valid_pages
 
 # Fixed value: input files a stage takes per micro-batch when not told otherwise.
 BATCH_FILES = 10
@@ -87,13 +89,7 @@ def run_stage(
         done = process(batch).withColumn("outcome", succeeded(result_column))
         done.write.mode("overwrite").partitionBy("outcome").json(f"{output}/batch_id={batch_id}")
 
-    query = (
-        source.writeStream.trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(process_batch)
-        .start()
-    )
-    query.awaitTermination()
+    _run_to_end(source, process_batch, checkpoint)
 
 
 def next_queue(output: str) -> str:
@@ -105,6 +101,28 @@ def dead_letters(output: str) -> str:
     return f"{output}/batch_id=*/outcome=failed"
 
 
+def run_extract_stage(
+    pages: DataFrame, keywords: Sequence[str], output: str, checkpoint: str
+) -> None:
+    """Turn everything in a stream of pages into items for the scoring stage and stop.
+
+    ``output/batch_id=N`` holds the items of a micro-batch (:func:`extracted_queue` reads all) and
+    ``output_errors/batch_id=N`` the error records of its pages; a retry replaces both.
+    """
+
+    def extract_batch(batch: DataFrame, batch_id: int) -> None:
+        page_errors(batch).write.mode("overwrite").json(f"{output}_errors/batch_id={batch_id}")
+        links = extract_links(valid_pages(batch))
+        items = link_items(with_keywords(links, keywords))
+        items.write.mode("overwrite").json(f"{output}/batch_id={batch_id}")
+
+    _run_to_end(pages, extract_batch, checkpoint)
+
+
+def extracted_queue(output: str) -> str:
+    return f"{output}/batch_id=*"
+
+
 def run_store_stage(source: DataFrame, path: str, checkpoint: str) -> None:
     """Upsert everything in a queue of scored items into the catalog at ``path`` and stop.
 
@@ -114,10 +132,16 @@ def run_store_stage(source: DataFrame, path: str, checkpoint: str) -> None:
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         catalog.append_batch(catalog.catalog_rows(batch.drop(CORRUPT)), path, batch_id)
 
+    _run_to_end(source, store_batch, checkpoint)
+
+
+def _run_to_end(
+    source: DataFrame, batch_function: Callable[[DataFrame, int], None], checkpoint: str
+) -> None:
     query = (
         source.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(store_batch)
+        .foreachBatch(batch_function)
         .start()
     )
     query.awaitTermination()

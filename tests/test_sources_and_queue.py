@@ -12,7 +12,7 @@ from linkscore.operators.score import score_links
 from linkscore.plans import runs
 from linkscore.schemas import SCORED_ITEM, struct
 from linkscore.sources import robots, targets
-from linkscore.sources.pages import page_errors, read_pages, valid_pages
+from linkscore.sources.pages import page_errors, read_page_stream, read_pages, valid_pages
 from linkscore.streaming import queue
 
 
@@ -186,6 +186,17 @@ def test_stages_give_what_the_batch_run_gives(spark, tmp_path):
     }
 
 
+def test_page_stream_gives_the_items_of_the_batch_run(spark, tmp_path):
+    landing, output = str(tmp_path / "pages"), str(tmp_path / "items")
+    sample_pages(spark).repartition(3).write.parquet(landing)
+    stream = read_page_stream(spark, landing, max_files=1)
+    queue.run_extract_stage(stream, ["Python", "java"], output, str(tmp_path / "c"))
+    items = spark.read.schema(items_of(spark).schema).json(queue.extracted_queue(output))
+    assert sorted(map(str, items.collect())) == sorted(map(str, items_of(spark).collect()))
+    errors = spark.read.json(queue.extracted_queue(output + "_errors"))
+    assert [r.error for r in errors.collect()] == ["empty_response"]
+
+
 def test_failed_items_become_dead_letters(spark, tmp_path):
     source, scored = str(tmp_path / "items"), str(tmp_path / "scored")
     items = items_of(spark)
