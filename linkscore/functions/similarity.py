@@ -76,9 +76,14 @@ def term_dot(text_tokens: Column, keyword_tokens: Column) -> Column:
     )
 
 
-def term_cosine(text_tokens: Column, keyword_tokens: Column) -> Column:
-    """Cosine of term-frequency vectors; no explode and no join, the work stays in the row."""
-    value = _ratio(
-        term_dot(text_tokens, keyword_tokens), term_norm2(text_tokens), term_norm2(keyword_tokens)
-    )
+def term_cosine(
+    text_tokens: Column, keyword_tokens: Column, text_norm2: Column | None = None
+) -> Column:
+    """Cosine of term-frequency vectors; no explode and no join, the work stays in the row.
+
+    ``text_norm2`` is the :func:`term_norm2` of the text, where it is known already.
+    """
+    if text_norm2 is None:
+        text_norm2 = term_norm2(text_tokens)
+    value = _ratio(term_dot(text_tokens, keyword_tokens), text_norm2, term_norm2(keyword_tokens))
     return F.when(text_tokens.isNotNull() & keyword_tokens.isNotNull(), value)

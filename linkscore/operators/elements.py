@@ -225,6 +225,8 @@ def _storable(text):
 
 def _page_rows(html, container, for_links):
     """Rows of one page; with ``for_links`` only what some link of the page can make use of."""
+    if for_links and "<a" not in html and "<A" not in html:
+        return []
     reader = _PageReader(container)
     try:
         found = reader.read(html)

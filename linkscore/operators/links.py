@@ -25,6 +25,10 @@ DESCRIPTION_LENGTH = 300
 PLAIN_RELS = ("nofollow", "noopener")
 
 PAGE = ("page_id", "container")
+ITEM_COLUMNS = (
+    "page_id", "link_pos", "seq", "href", "keyword", "text", "title", "aria_label", "rel",
+    "context", "metadata", "source_url", "processed_text",
+)
 
 
 def page_title(raw: Column) -> Column:
@@ -224,10 +228,7 @@ def with_keywords(links: DataFrame, keywords: Sequence[str]) -> DataFrame:
 
 def link_items(links: DataFrame) -> DataFrame:
     """The nested record that goes to the next stage, fields in their published order."""
-    return links.select(
-        "page_id", "link_pos", "seq", "href", "keyword", "text", "title", "aria_label", "rel",
-        "context", "metadata", "source_url", "processed_text",
-    )
+    return links.select(*ITEM_COLUMNS)
 
 
 def first_item(links: DataFrame) -> DataFrame:

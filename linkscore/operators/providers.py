@@ -36,11 +36,18 @@ SENTENCE_MODEL = "all-MiniLM-L6-v2"
 
 class Similarity(Protocol):
     def attach(
-        self, table: DataFrame, left: str, right: str, name: str, left_tokens: str | None = None
+        self,
+        table: DataFrame,
+        left: str,
+        right: str,
+        name: str,
+        tokens: str | None = None,
+        norm2: str | None = None,
     ) -> DataFrame:
         """``table`` with the similarity of columns ``left`` and ``right`` as ``name``.
 
-        ``left_tokens`` may name a column that already holds the tokens of ``left``.
+        ``tokens`` and ``norm2`` name columns with the tokens of ``left`` and their
+        :func:`~linkscore.functions.similarity.term_norm2`, if there are such columns.
         """
 
 
@@ -48,13 +55,21 @@ class LexicalSimilarity:
     """Cosine of term frequencies of the lowercased tokens; 0 for a text without tokens."""
 
     def attach(
-        self, table: DataFrame, left: str, right: str, name: str, left_tokens: str | None = None
+        self,
+        table: DataFrame,
+        left: str,
+        right: str,
+        name: str,
+        tokens: str | None = None,
+        norm2: str | None = None,
     ) -> DataFrame:
-        terms = F.col(left_tokens) if left_tokens else tx.tokens(F.col(left))
+        terms = F.col(tokens) if tokens else tx.tokens(F.col(left))
         prepared = table.withColumns(
             {"_left_terms": terms, "_right_terms": tx.tokens(F.col(right))}
         )
-        similarity = sim.term_cosine(F.col("_left_terms"), F.col("_right_terms"))
+        similarity = sim.term_cosine(
+            F.col("_left_terms"), F.col("_right_terms"), F.col(norm2) if norm2 else None
+        )
         return prepared.withColumn(name, similarity).drop("_left_terms", "_right_terms")
 
 
@@ -74,7 +89,13 @@ class VectorSimilarity:
         return lookup_join(table, vectors, key, self.hot_rows)
 
     def attach(
-        self, table: DataFrame, left: str, right: str, name: str, left_tokens: str | None = None
+        self,
+        table: DataFrame,
+        left: str,
+        right: str,
+        name: str,
+        tokens: str | None = None,
+        norm2: str | None = None,
     ) -> DataFrame:
         pair_key = F.when(
             F.col(left).isNotNull() & F.col(right).isNotNull(),

@@ -19,6 +19,9 @@ _SCORE_COLUMNS = (
     "exact", "semantic_sim", "context_text", "context_sim", "context_score", "score",
 )
 
+# Columns of :func:`with_text_terms`.
+TEXT_TERMS = ("_tokens", "_norm2")
+
 
 def computed_once(table: DataFrame, *columns: str) -> DataFrame:
     """``table`` with these columns shielded from filters that come later.
@@ -31,6 +34,16 @@ def computed_once(table: DataFrame, *columns: str) -> DataFrame:
     return table.select(*others, F.inline(F.array(F.struct(*columns))))
 
 
+def with_text_terms(table: DataFrame, text: str = "processed_text") -> DataFrame:
+    """``table`` with what scoring needs of each text, whatever the keyword.
+
+    Worth doing before the texts are multiplied by keywords: tokenizing is the larger part of the
+    lexical work. :func:`score_text` uses the columns when they are there and drops them.
+    """
+    with_tokens = table.withColumn("_tokens", tx.tokens(F.col(text)))
+    return with_tokens.withColumn("_norm2", sim.term_norm2(F.col("_tokens")))
+
+
 def score_text(
     table: DataFrame,
     text: str = "processed_text",
@@ -43,22 +56,21 @@ def score_text(
     counts only when some token equals the keyword, and then for its last occurrence.
     """
     similarity = similarity or LexicalSimilarity()
-    prepared = table.withColumns(
-        {"_tokens": tx.tokens(F.col(text)), "_keyword": F.lower(F.col(keyword))}
-    )
-    located = prepared.withColumns({
+    if "_tokens" not in table.columns:
+        table = with_text_terms(table, text)
+    located = table.withColumn("_keyword", F.lower(F.col(keyword))).withColumns({
         "exact": sim.exact_match(F.col(text), F.col(keyword)),
         "_position": tx.last_position(F.col("_tokens"), F.col("_keyword")),
     })
     windowed = located.withColumn("_window", tx.window_tokens(F.col("_tokens"), F.col("_position")))
     named = windowed.withColumn("context_text", F.array_join("_window", " "))
-    with_text = similarity.attach(named, text, "_keyword", "semantic_sim", "_tokens")
+    with_text = similarity.attach(named, text, "_keyword", "semantic_sim", "_tokens", "_norm2")
     with_both = similarity.attach(with_text, "context_text", "_keyword", "context_sim", "_window")
     scored = with_both.withColumn("context_score", context_score()).withColumn(
         "score", combined_score()
     )
     return computed_once(
-        scored.drop("_tokens", "_keyword", "_position", "_window"), *_SCORE_COLUMNS
+        scored.drop(*TEXT_TERMS, "_keyword", "_position", "_window"), *_SCORE_COLUMNS
     )
 
 

@@ -7,7 +7,7 @@ need other markup get it from the tables by expression: rel values and descripti
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -381,9 +381,12 @@ def q_unscored(spark, sf_dir):
 # -- catalog -----------------------------------------------------------------------------------
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _catalog(
+    spark: SparkSession, sf_dir: str, columns: Sequence[str] = catalog.CATALOG_COLUMNS
+) -> DataFrame:
     rows = catalog.catalog_rows(_scored(spark, sf_dir))
-    return catalog.last_per_key(rows, "seq").drop("seq")
+    needed = rows.select(*dict.fromkeys([*catalog.KEY, *columns, "seq"]))
+    return catalog.last_per_key(needed, "seq").select(*columns)
 
 
 def _catalog_columns(table: DataFrame) -> DataFrame:
@@ -437,11 +440,11 @@ def q_by_both(spark, sf_dir):
 
 
 def q_result_count(spark, sf_dir):
-    return catalog.result_count(_catalog(spark, sf_dir), keyword=KEYWORD)
+    return catalog.result_count(_catalog(spark, sf_dir, catalog.KEY), keyword=KEYWORD)
 
 
 def q_href_lookup(spark, sf_dir):
-    rows = _catalog(spark, sf_dir)
+    rows = _catalog(spark, sf_dir, catalog.HREF_COLUMNS)
     wanted = _links(spark, sf_dir).select(
         ux.resolve_href(F.col("source_url"), F.col("href")).alias("href_url")
     )

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscore.operators import catalog, rank
-from linkscore.operators.links import extract_links, link_items, malformed_links, with_keywords
+from linkscore.operators.links import (
+    ITEM_COLUMNS,
+    extract_links,
+    link_items,
+    malformed_links,
+    with_keywords,
+)
 from linkscore.operators.providers import Similarity
-from linkscore.operators.score import score_links
+from linkscore.operators.score import TEXT_TERMS, score_links, with_text_terms
 from linkscore.sources import robots, targets as tg
 from linkscore.sources.pages import page_errors, valid_pages
 
@@ -25,8 +31,9 @@ def scored_items(
     similarity: Similarity | None = None,
 ) -> DataFrame:
     """Every link of every valid page, scored for every keyword of the list."""
-    links = extract_links(valid_pages(pages), containers)
-    return score_links(link_items(with_keywords(links, keywords)), similarity)
+    links = with_text_terms(extract_links(valid_pages(pages), containers))
+    each = with_keywords(links, keywords)
+    return score_links(each.select(*ITEM_COLUMNS, *TEXT_TERMS), similarity)
 
 
 def ranked_links(
