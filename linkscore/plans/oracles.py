@@ -35,10 +35,12 @@ def _tokens(x: str) -> str:
 
 
 def _plain(x: str) -> str:
-    """Text without the entities that the generated pages use."""
-    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">")):
-        x = f"replace({x}, '&{entity};', '{char}')"
-    return f"replace({x}, '&amp;', '&')"
+    """Text without the entities that the generated pages use; the last may lack its semicolon."""
+    for entity, char in (
+        ("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&"),
+    ):
+        x = f"regexp_replace({x}, '&{entity}(;|$)', '{char}', 'g')"
+    return x
 
 
 def _netloc(url: str) -> str:

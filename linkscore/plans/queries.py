@@ -136,15 +136,14 @@ def _stage_output(spark: SparkSession, sf_dir: str) -> str:
 
 
 def q_stream_score(spark, sf_dir):
-    scored = queue.next_queue(_stage_output(spark, sf_dir))
-    items = spark.read.schema(struct(SCORED_ITEM)).json(scored)
+    items = queue.stage_items(spark, _stage_output(spark, sf_dir), SCORED_ITEM)
     return items.select(_seq(), *_analysis_columns())
 
 
 def q_stream_catalog(spark, sf_dir):
-    scored = queue.next_queue(_stage_output(spark, sf_dir))
+    scored = _stage_output(spark, sf_dir)
     folder = new_folder(spark, "catalog")
-    stream = queue.read_queue(spark, scored, SCORED_ITEM)
+    stream = queue.read_queue(spark, scored, SCORED_ITEM, from_stage=True)
     queue.run_store_stage(stream, folder, new_folder(spark, "offsets"))
     return _catalog_columns(catalog.current(catalog.stored(spark, folder)))
 

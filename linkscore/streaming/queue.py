@@ -22,6 +22,8 @@ from linkscore.sources.pages import page_errors, valid_pages
 BATCH_FILES = 10
 
 CORRUPT = "malformed"
+# Directory levels below a stage's output.
+STAGE_PARTITIONS = ", batch_id bigint, outcome string"
 
 
 def publish(items: DataFrame, queue: str) -> None:
@@ -45,20 +47,34 @@ def read_queue(
     schema: str = LINK_ITEM,
     max_files: int = BATCH_FILES,
     archive: str | None = None,
+    from_stage: bool = False,
 ) -> DataFrame:
     """Stream of a queue's items; lines that are no items come as ``malformed``.
 
-    With ``archive`` the files of finished batches are moved there, which clears the queue.
+    ``from_stage`` tells that the queue is the output of :func:`run_stage`: the items it processed
+    are read, not its dead letters. With ``archive`` the files of finished batches are moved there,
+    which clears the queue.
     """
+    fields = f"{schema}, {CORRUPT} string" + (STAGE_PARTITIONS if from_stage else "")
     reader = (
-        spark.readStream.schema(struct(f"{schema}, {CORRUPT} string"))
+        spark.readStream.schema(struct(fields))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("maxFilesPerTrigger", max_files)
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.json(queue)
+    items = reader.json(queue)
+    return items.filter("outcome = 'ok'").drop("batch_id", "outcome") if from_stage else items
+
+
+def stage_items(
+    spark: SparkSession, output: str, schema: str, outcome: str = "ok"
+) -> DataFrame:
+    """Items a stage has written: the processed ones, or with ``failed`` its dead letters."""
+    written = spark.read.schema(struct(f"{schema}, {CORRUPT} string" + STAGE_PARTITIONS))
+    items = written.option("columnNameOfCorruptRecord", "_none").json(output)
+    return items.filter(F.col("outcome") == outcome).drop("batch_id", "outcome")
 
 
 def peek(items: DataFrame) -> DataFrame:
@@ -80,8 +96,8 @@ def run_stage(
     """Process everything in the source queue and stop.
 
     ``process`` must give a null ``result_column`` for items it cannot handle. A batch is computed
-    and written once, split by outcome: ``output/batch_id=N/outcome=ok`` is the next queue,
-    ``outcome=failed`` the dead letters. A batch that is retried after a failure overwrites its own
+    and written once, split by outcome: ``output/batch_id=N/outcome=ok`` is for the next stage,
+    ``outcome=failed`` holds the dead letters. A batch that is retried after a failure overwrites its own
     directory, so nothing is forwarded twice; nothing is dropped and there is no item limit.
     """
 
@@ -92,22 +108,13 @@ def run_stage(
     _run_to_end(source, process_batch, checkpoint)
 
 
-def next_queue(output: str) -> str:
-    """Where the following stage reads the items a stage has processed."""
-    return f"{output}/batch_id=*/outcome=ok"
-
-
-def dead_letters(output: str) -> str:
-    return f"{output}/batch_id=*/outcome=failed"
-
-
 def run_extract_stage(
     pages: DataFrame, keywords: Sequence[str], output: str, checkpoint: str
 ) -> None:
     """Turn everything in a stream of pages into items for the scoring stage and stop.
 
-    ``output/batch_id=N`` holds the items of a micro-batch (:func:`extracted_queue` reads all) and
-    ``output_errors/batch_id=N`` the error records of its pages; a retry replaces both.
+    ``output/batch_id=N`` holds the items of a micro-batch and ``output_errors/batch_id=N`` the
+    error records of its pages; a retry replaces both. ``output`` is a queue for the next stage.
     """
 
     def extract_batch(batch: DataFrame, batch_id: int) -> None:
@@ -119,10 +126,6 @@ def run_extract_stage(
     _run_to_end(pages, extract_batch, checkpoint)
 
 
-def extracted_queue(output: str) -> str:
-    return f"{output}/batch_id=*"
-
-
 def run_store_stage(source: DataFrame, path: str, checkpoint: str) -> None:
     """Upsert everything in a queue of scored items into the catalog at ``path`` and stop.
 

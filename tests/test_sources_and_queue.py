@@ -10,7 +10,7 @@ from linkscore.operators import catalog, rank
 from linkscore.operators.links import extract_links, link_items, with_keywords
 from linkscore.operators.score import score_links
 from linkscore.plans import runs
-from linkscore.schemas import SCORED_ITEM, struct
+from linkscore.schemas import SCORED_ITEM
 from linkscore.sources import robots, targets
 from linkscore.sources.pages import page_errors, read_page_stream, read_pages, valid_pages
 from linkscore.streaming import queue
@@ -166,7 +166,7 @@ def test_stages_give_what_the_batch_run_gives(spark, tmp_path):
     def run_stages():
         stream = queue.read_queue(spark, source, max_files=1)
         queue.run_stage(stream, score_links, "relevance_analysis", scored, str(tmp_path / "c1"))
-        done = queue.read_queue(spark, queue.next_queue(scored), SCORED_ITEM)
+        done = queue.read_queue(spark, scored, SCORED_ITEM, from_stage=True)
         queue.run_store_stage(done, store, str(tmp_path / "c2"))
 
     run_stages()
@@ -177,7 +177,7 @@ def test_stages_give_what_the_batch_run_gives(spark, tmp_path):
     run_stages()
     stored = catalog.stored(spark, store)
     assert stored.count() == 20
-    forwarded = spark.read.schema(struct(SCORED_ITEM)).json(queue.next_queue(scored))
+    forwarded = queue.stage_items(spark, scored, SCORED_ITEM)
     assert analyses(forwarded) == analyses(score_links(items))
     rows = catalog.last_per_key(catalog.catalog_rows(score_links(items)), "seq")
     key = ("keyword", "source_url", "href_url", "relevance_score")
@@ -191,11 +191,18 @@ def test_page_stream_gives_the_items_of_the_batch_run(spark, tmp_path):
     sample_pages(spark).repartition(3).write.parquet(landing)
     stream = read_page_stream(spark, landing, max_files=1)
     queue.run_extract_stage(stream, ["Python", "java"], output, str(tmp_path / "c"))
-    items = spark.read.schema(items_of(spark).schema).json(queue.extracted_queue(output))
+    items = spark.read.schema(items_of(spark).schema).json(output).drop("batch_id")
     assert sorted(map(str, items.collect())) == sorted(map(str, items_of(spark).collect()))
-    errors = spark.read.json(queue.extracted_queue(output + "_errors"))
+    errors = spark.read.json(output + "_errors")
     assert [r.error for r in errors.collect()] == ["empty_response"]
 
+    scored = str(tmp_path / "scored")
+    queue.run_stage(
+        queue.read_queue(spark, output), score_links, "relevance_analysis", scored,
+        str(tmp_path / "c2"),
+    )
+    assert analyses(queue.stage_items(spark, scored, SCORED_ITEM)) == analyses(score_links(items))
+
 
 def test_failed_items_become_dead_letters(spark, tmp_path):
     source, scored = str(tmp_path / "items"), str(tmp_path / "scored")
@@ -205,8 +212,8 @@ def test_failed_items_become_dead_letters(spark, tmp_path):
     (tmp_path / "items" / "bad.json").write_text('{"page_id": 1, "href": \nnot json\n')
     stream = queue.read_queue(spark, source)
     queue.run_stage(stream, score_links, "relevance_analysis", scored, str(tmp_path / "c"))
-    assert spark.read.json(queue.next_queue(scored)).count() == items.count()
-    dead = spark.read.json(queue.dead_letters(scored))
+    assert queue.stage_items(spark, scored, SCORED_ITEM).count() == items.count()
+    dead = queue.stage_items(spark, scored, SCORED_ITEM, "failed")
     assert dead.count() == 3
     assert sorted(r[0] for r in dead.select(queue.CORRUPT).collect() if r[0]) == [
         "not json", '{"page_id": 1, "href": '
@@ -224,7 +231,7 @@ def test_archived_queue_is_cleared(spark, tmp_path):
     left = list((tmp_path / "q" / "items").glob("*.json"))
     moved = [p for p in (tmp_path / "archive").rglob("*.json")]
     assert len(left) < 3 and len(left) + len(moved) == 3
-    assert spark.read.json(queue.next_queue(str(tmp_path / "scored"))).count() == 3 * 20
+    assert queue.stage_items(spark, str(tmp_path / "scored"), SCORED_ITEM).count() == 3 * 20
 
 
 def test_small_inputs_are_spread_and_large_ones_left_alone(spark, tmp_path):
