@@ -30,7 +30,7 @@ Encoder = Callable[[list[str]], "list[list[float]]"]
 # Workers get this module's code inside the pickled UDF, so executors need no installation.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The sentence model whose vectors make the scores those of the original service.
+# The sentence model that the score formula is made for.
 SENTENCE_MODEL = "all-MiniLM-L6-v2"
 
 
