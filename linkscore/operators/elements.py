@@ -12,12 +12,13 @@ The UDF sees only the markup; all other columns stay in the JVM. Arrow batches a
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscore.schemas import ELEMENT_FIELDS
@@ -57,15 +58,16 @@ class _PageReader(HTMLParser):
     there is none; nothing closes implicitly; the end of the page closes the rest.
     """
 
-    def __init__(self, container):
+    def __init__(self, containers):
         super().__init__(convert_charrefs=False)
-        self.container = container
+        self.containers = containers
         self.found = []
         self.segments = []
         self._pending = []
         self._open = []  # (tag, element or None), outermost first
         self._open_count = {}
-        self._scopes = [] if container else [0]
+        # Open containers, outermost first; the document itself is the container named "".
+        self._scopes = [{"container": "", "pos": 0}] if "" in containers else []
         self._headings = []
         self._tags_seen = self._hidden = self._preformatted = 0
         self._block = None  # the block that opened last
@@ -148,8 +150,8 @@ class _PageReader(HTMLParser):
         element = self._element(tag, attrs)
         self._open.append((tag, element))
         self._open_count[tag] = self._open_count.get(tag, 0) + 1
-        if tag == self.container:
-            self._scopes.append(self._tags_seen)
+        if tag in self.containers:
+            self._scopes.append({"container": tag, "pos": self._tags_seen})
         if tag in HEADING_TAGS:
             self._headings.append(element)
         else:
@@ -159,7 +161,7 @@ class _PageReader(HTMLParser):
     def _element(self, tag, attrs):
         """Element to report for this start tag, or None."""
         block = tag in BLOCK_TAGS
-        if not (block or tag in ("a", "title", "meta") or tag == self.container):
+        if not (block or tag in ("a", "title", "meta") or tag in self.containers):
             return None
         # Of a repeated attribute the last value counts; one without value is empty.
         values = {name: value or "" for name, value in attrs}
@@ -184,7 +186,7 @@ class _PageReader(HTMLParser):
         while len(self._open) > level:
             tag, element = self._open.pop()
             self._open_count[tag] -= 1
-            if tag == self.container:
+            if tag in self.containers:
                 self._scopes.pop()
             if tag in HEADING_TAGS:
                 self._headings.pop()
@@ -213,7 +215,7 @@ _LISTS = {
     "attrs": pa.map_(pa.string(), pa.string()),
     "text": pa.string(),
     "text_stripped": pa.string(),
-    "scopes": pa.list_(pa.int32()),
+    "scopes": pa.list_(pa.struct([("container", pa.string()), ("pos", pa.int32())])),
     "headings": pa.list_(pa.string()),
 }
 
@@ -223,11 +225,11 @@ def _storable(text):
     return text.encode("utf-8", "replace").decode("utf-8") if not text.isascii() else text
 
 
-def _page_rows(html, container, for_links):
+def _page_rows(html, containers, for_links):
     """Rows of one page; with ``for_links`` only what some link of the page can make use of."""
     if for_links and "<a" not in html and "<A" not in html:
         return []
-    reader = _PageReader(container)
+    reader = _PageReader(containers)
     try:
         found = reader.read(html)
     except AssertionError:
@@ -254,12 +256,14 @@ def _page_rows(html, container, for_links):
     return rows
 
 
-def _elements_udf(for_links):
-    def read_pages(html: pa.Array, container: pa.Array) -> pa.Array:
+def _elements_udf(containers, for_links):
+    wanted = frozenset(c.lower() for c in containers)
+
+    def read_pages(html: pa.Array) -> pa.Array:
         offsets, rows = [0], []
-        for markup, tag in zip(html.to_pylist(), container.to_pylist()):
+        for markup in html.to_pylist():
             if markup:
-                rows.extend(_page_rows(markup, (tag or "").lower(), for_links))
+                rows.extend(_page_rows(markup, wanted, for_links))
             offsets.append(len(rows))
         columns = list(zip(*rows)) or [()] * len(_LISTS)
         fields = [pa.array(c, type=t) for c, t in zip(columns, _LISTS.values())]
@@ -276,25 +280,25 @@ def _as_struct_fields(ddl):
 
 
 def parsed_pages(
-    pages: DataFrame, container: str | Column = "body", for_links: bool = False
+    pages: DataFrame, containers: Sequence[str] = ("body",), for_links: bool = False
 ) -> DataFrame:
     """Pages with the array of their elements in place of the markup."""
-    tag = F.lit(container) if isinstance(container, str) else container
-    parsed = _elements_udf(for_links)(F.col("html"), tag)
-    return pages.select("page_id", "url", tag.alias("container"), parsed.alias("elements"))
+    parsed = _elements_udf(tuple(containers), for_links)(F.col("html"))
+    return pages.select("page_id", "url", parsed.alias("elements"))
 
 
 def elements(
-    pages: DataFrame, container: str | Column = "body", for_links: bool = False
+    pages: DataFrame, containers: Sequence[str] = ("body",), for_links: bool = False
 ) -> DataFrame:
     """One row per relevant element of each page, ``pos`` in document order.
 
-    ``pages`` has ``page_id``, ``url``, ``html``; the markup does not leave this step. With
+    ``pages`` has ``page_id``, ``url``, ``html``; the markup does not leave this step. Links carry
+    the containers they are in as ``scopes``; all containers are found in one pass. With
     ``for_links`` only rows that extraction uses are made: links, page title and description, and
     of the blocks just the neighbours of a link, which keeps article text out of the shuffle.
     """
-    listed = parsed_pages(pages, container, for_links)
+    listed = parsed_pages(pages, containers, for_links)
     # inline() would make the optimizer infer "elements is not empty" and push that below the
     # projection, which runs the UDF twice; inline_outer() with a filter on its rows does not.
-    rows = listed.select("page_id", "url", "container", F.inline_outer("elements"))
+    rows = listed.select("page_id", "url", F.inline_outer("elements"))
     return rows.filter(F.col("tag").isNotNull())

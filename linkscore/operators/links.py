@@ -24,7 +24,8 @@ DESCRIPTION_LENGTH = 300
 # Rel values that say nothing when they stand alone.
 PLAIN_RELS = ("nofollow", "noopener")
 
-PAGE = ("page_id", "container")
+# The links of a page are numbered, and first mentions counted, for each container by itself.
+LISTING = ("page_id", "container")
 ITEM_COLUMNS = (
     "page_id", "link_pos", "seq", "href", "keyword", "text", "title", "aria_label", "rel",
     "context", "metadata", "source_url", "processed_text",
@@ -56,7 +57,7 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     """
     first_title = _first_element("title")["text"]
     first_description = _first_element("meta")["attrs"]["content"]
-    return parsed_pages(pages, container="").select(
+    return parsed_pages(pages, containers=()).select(
         "page_id",
         "url",
         page_title(first_title).alias("title"),
@@ -77,7 +78,7 @@ def _slim_rows(rows: DataFrame) -> DataFrame:
     attrs, text = F.col("attrs"), F.col("text")
     is_link = F.col("tag") == "a"
     return rows.select(
-        *PAGE, "pos", "scopes", "headings",
+        "page_id", "pos", "scopes", "headings",
         F.when(is_link, F.col("url")).alias("url"),
         F.when(is_link, attrs["href"]).alias("href"),
         F.when(is_link, tx.clean_text(text)).alias("text"),
@@ -99,7 +100,7 @@ def _links_in_context(rows: DataFrame) -> DataFrame:
     The nearest block is chosen first and cleaned second: boilerplate gives null, not the block
     behind it.
     """
-    page = Window.partitionBy(*PAGE)
+    page = Window.partitionBy("page_id")
     before = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     whole = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # "The next block" is the last one seen walking backwards: a frame that grows is linear,
@@ -156,30 +157,21 @@ def processed_text() -> Column:
     return F.array_join(F.array_distinct(parts), " ")
 
 
-def _with_containers(pages: DataFrame, containers: Sequence[str]) -> DataFrame:
-    if len(containers) == 1:
-        return elements(pages, containers[0], for_links=True)
-    each = pages.select(
-        "page_id", "url", "html", F.explode(F.array(*map(F.lit, containers))).alias("container")
-    )
-    return elements(each, F.col("container"), for_links=True)
-
-
 def links_from_elements(rows: DataFrame) -> DataFrame:
     """Link records from the element rows of :func:`elements` with ``for_links``."""
     in_context = _links_in_context(_slim_rows(rows)).filter(ux.is_splittable(F.col("href")))
     # A link is listed once for every container it is in.
-    scoped = in_context.withColumn("scope_pos", F.explode("scopes")).drop("scopes")
-    page = Window.partitionBy(*PAGE)
-    numbered = scoped.withColumn(
-        "link_pos", F.row_number().over(page.orderBy("scope_pos", "pos"))
-    )
+    scoped = in_context.withColumn("scope", F.explode("scopes")).drop("scopes")
+    listing = Window.partitionBy(*LISTING)
+    numbered = scoped.withColumns(
+        {"container": F.col("scope.container"), "scope_pos": F.col("scope.pos")}
+    ).withColumn("link_pos", F.row_number().over(listing.orderBy("scope_pos", "pos")))
     # As columns of their own, so that the expressions reading them do not split the URL again.
     split = numbered.withColumns(
         {"domain": ux.domain_component(F.col("href")), "path": ux.url_path(F.col("href"))}
     )
     mentions = split.withColumn(
-        "first_pos", F.min("link_pos").over(Window.partitionBy(*PAGE, "domain"))
+        "first_pos", F.min("link_pos").over(Window.partitionBy(*LISTING, "domain"))
     )
     return mentions.select(
         "page_id",
@@ -205,14 +197,17 @@ def extract_links(pages: DataFrame, containers: Sequence[str] = ("body",)) -> Da
 
     ``containers`` are tag names, ``""`` stands for the whole document.
     """
-    return links_from_elements(_with_containers(pages, containers))
+    return links_from_elements(elements(pages, containers, for_links=True))
+
 
+def malformed_links(rows: DataFrame) -> DataFrame:
+    """Error records for the links that extraction leaves out: their URL cannot be split.
 
-def malformed_links(pages: DataFrame, containers: Sequence[str] = ("body",)) -> DataFrame:
-    """Error records for the links that extraction leaves out: their URL cannot be split."""
-    rows = _with_containers(pages, containers).filter(F.col("tag") == "a")
+    ``rows`` are element rows, as for :func:`links_from_elements`.
+    """
     href = F.col("attrs")["href"]
-    return rows.filter((F.size("scopes") > 0) & ~ux.is_splittable(href)).select(
+    links = rows.filter((F.col("tag") == "a") & (F.size("scopes") > 0))
+    return links.filter(~ux.is_splittable(href)).select(
         F.lit("invalid_link").alias("error"),
         F.concat(F.lit("Link cannot be split into parts: "), href).alias("message"),
         "url",

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkscore.operators import catalog, rank
+from linkscore.operators.elements import elements
 from linkscore.operators.links import (
     ITEM_COLUMNS,
     extract_links,
     link_items,
+    links_from_elements,
     malformed_links,
     with_keywords,
 )
@@ -20,6 +22,7 @@ from linkscore.operators.providers import Similarity
 from linkscore.operators.score import TEXT_TERMS, score_links, with_text_terms
 from linkscore.sources import robots, targets as tg
 from linkscore.sources.pages import page_errors, valid_pages
+from linkscore.storage import materialized
 
 DEFAULT_CONTAINERS = ("body",)
 
@@ -46,7 +49,7 @@ def ranked_links(
 
 @dataclass
 class Run:
-    """Outputs of :func:`run`; all lazy."""
+    """Outputs of :func:`run`, both lazy; reading them does not parse the pages again."""
 
     items: DataFrame
     errors: DataFrame
@@ -61,36 +64,33 @@ def run(
 ) -> Run:
     """Scored items of all targets, and the error records of what could not be processed.
 
-    ``targets`` is ``(url, keyword[, container])``. Rules of ``robots_files`` are applied before
-    parsing when they are small, and otherwise to the links: markup is never shuffled.
+    ``targets`` is ``(url, keyword[, container])``. Pages are parsed here, once, into a table of
+    element rows: parsing is the larger part of the work, and the rows are a small part of the
+    markup. Rules of ``robots_files`` are applied before parsing when they are small, and otherwise
+    to the rows: markup is never shuffled.
     """
     targets = tg.with_default_container(targets)
     wanted = tg.pages_of_targets(pages, targets)
     valid = valid_pages(wanted)
-    errors = [tg.target_errors(targets, containers), page_errors(wanted)]
+    errors = tg.target_errors(targets, containers).unionByName(page_errors(wanted))
 
-    if robots_files is None:
-        links = extract_links(valid, containers)
-        allowed = valid
-    else:
+    refused = None
+    if robots_files is not None:
         rules = robots.agent_rules(robots_files)
         small = robots.rules_are_small(rules)
         decided = robots.with_decision(valid.select("page_id", "url"), rules, small)
-        errors.append(robots.robots_errors(decided))
+        errors = errors.unionByName(robots.robots_errors(decided))
         if small:
-            allowed = robots.with_decision(valid, rules, small).filter("allowed").drop("allowed")
-            links = extract_links(allowed, containers)
+            valid = robots.with_decision(valid, rules, small).filter("allowed").drop("allowed")
         else:
-            allowed = valid
             refused = decided.filter(~F.col("allowed")).select("page_id")
-            links = extract_links(valid, containers).join(refused, "page_id", "left_anti")
-
-    errors.append(malformed_links(allowed, containers))
-    items = score_links(link_items(tg.links_of_targets(links, targets)), similarity)
-    all_errors = errors[0]
-    for more in errors[1:]:
-        all_errors = all_errors.unionByName(more)
-    return Run(items, all_errors)
+
+    rows = materialized(elements(valid, containers, for_links=True), "elements")
+    if refused is not None:
+        rows = rows.join(refused, "page_id", "left_anti")
+    errors = errors.unionByName(malformed_links(rows))
+    links = tg.links_of_targets(links_from_elements(rows), targets)
+    return Run(score_links(link_items(links), similarity), errors)
 
 
 def store(run_output: Run, path: str, batch_id: int) -> None:

@@ -8,7 +8,7 @@ PAGE = "page_id bigint, url string, html string"
 
 ELEMENT_FIELDS = (
     "pos int, end_pos int, tag string, attrs map<string,string>, text string, "
-    "text_stripped string, scopes array<int>, headings array<string>"
+    "text_stripped string, scopes array<struct<container:string,pos:int>>, headings array<string>"
 )
 
 LINK_ITEM = (

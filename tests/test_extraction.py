@@ -16,8 +16,8 @@ def links_of(pages, *columns, containers=("",)):
     return rows(extract_links(pages, containers).orderBy("page_id", "container", "link_pos"), *columns)
 
 
-def tags(pages, container=""):
-    found = elements(pages, container).orderBy("page_id", "pos")
+def tags(pages):
+    found = elements(pages, containers=()).orderBy("page_id", "pos")
     return rows(found, "tag", "text", "text_stripped")
 
 
@@ -151,7 +151,8 @@ def test_text_assembly_keeps_first_occurrences_in_order(make_pages):
 def test_malformed_links_go_to_the_errors(make_pages):
     page = make_pages("<a href='http://[x/'>1</a><a href='/ok'>2</a>", url="http://s")
     assert links_of(page, "href", "link_pos") == [("/ok", 1)]
-    assert rows(malformed_links(page, ("",)), "error", "url") == [("invalid_link", "http://s")]
+    found = malformed_links(elements(page, ("",)))
+    assert rows(found, "error", "url") == [("invalid_link", "http://s")]
 
 
 def test_items_per_keyword_and_the_oldest(make_pages):
