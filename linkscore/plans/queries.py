@@ -25,6 +25,7 @@ from linkscore.operators.links import (
     with_keywords,
 )
 from linkscore.operators.score import score_links, score_text, unscored
+from linkscore.operators.skew import salted_join
 from linkscore.plans import runs
 from linkscore.schemas import LINK_ITEM, SCORED_ITEM, struct
 from linkscore.sources import robots
@@ -314,9 +315,9 @@ def q_embed_cache(spark, sf_dir):
 
 def q_cosine(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings", "vec_id")
-    # One vector per label, from a partial aggregate, so this side is as small as the labels.
+    # One vector per label, from a partial aggregate; a label may have most of the vectors.
     first = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first_vector"))
-    return vectors.join(first, "label").select(
+    return salted_join(vectors, first, ["label"], F.col("vec_id"), "inner").select(
         "vec_id", _rounded(sim.cosine(F.col("embedding"), F.col("first_vector")), "similarity")
     )
 
@@ -470,7 +471,7 @@ def _ranked_columns(ranked: DataFrame) -> DataFrame:
 
 
 def q_ranked_links(spark, sf_dir):
-    return _ranked_columns(rank.rank_links(_best(spark, sf_dir)))
+    return _ranked_columns(runs.ranked_links(_pages(spark, sf_dir), KEYWORDS))
 
 
 def q_top_links(spark, sf_dir):

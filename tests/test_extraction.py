@@ -45,6 +45,8 @@ def tags(pages):
         ("", []),
         (None, []),
         ("just text", []),
+        # markup the parser gives up on
+        ("<p>a</p><![nonsense[x]]>", []),
     ],
 )
 def test_reading_markup(make_pages, html, found):
