@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op5_url_filters": "url_filters",
+    "op9_quality_rules": "quality_rules",
 }
 
 
