@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op5_url_filters": "url_filters",
+    "op3_quality_classifier": "quality_classifier",
     "op9_quality_rules": "quality_rules",
+    "op10_pii": "pii",
 }
 
 
