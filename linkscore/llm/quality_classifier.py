@@ -32,7 +32,7 @@ from linkscore.storage import materialized
 
 THRESHOLD = 0.7
 #: Shares of the pooled covariance and of its own diagonal in the covariance of a class.
-POOLED, DIAGONAL, RIDGE = 0.1, 0.1, 1e-3
+POOLED, DIAGONAL, RIDGE = 0.3, 0.1, 1e-3
 
 
 @dataclass

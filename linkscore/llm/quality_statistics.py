@@ -34,7 +34,7 @@ _CLASSES = _classes()
 
 def _logit(share: np.ndarray) -> np.ndarray:
     p = np.clip(share, 0.0, 1.0)
-    return np.log((p + 0.002) / (1 - p + 0.002))
+    return np.log((p + 0.03) / (1 - p + 0.03))
 
 
 def _per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     different_lines, _ = _distinct(slice_hashes(data, edges, line_ends), line_text, n)
 
     def share(name: str) -> np.ndarray:
-        return _logit(_per_text(_CLASSES[name][data], offsets) / in_words)
+        return _logit(_per_text(_CLASSES[name][data], offsets) / (in_words + 50))
 
     columns = (
         np.log1p(words),
@@ -94,8 +94,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         np.log1p(lines),
         np.log1p(words / lines),
         _logit(different / some) / (1 + 0.2 * np.log1p(words)),
-        _logit(most / some),
-        _logit(_per_text(again, first) / some),
+        _logit(most / (words + 10)),
+        _logit(_per_text(again, first) / (words + 30)),
         _logit(different_pairs / np.maximum(words - 1, 1)),
         _logit(different_lines / lines),
     )
