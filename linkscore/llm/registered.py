@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op5_url_filters": "url_filters",
     "op3_quality_classifier": "quality_classifier",
+    "op6_token_files": "token_files",
+    "op7_packing": "packing",
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
 }
