@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op5_url_filters": "url_filters",
+    "op2_token_counts": "token_counts",
     "op3_quality_classifier": "quality_classifier",
     "op6_token_files": "token_files",
     "op7_packing": "packing",
