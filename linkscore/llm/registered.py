@@ -13,6 +13,7 @@ _MODULES = {
     "op3_quality_classifier": "quality_classifier",
     "op6_token_files": "token_files",
     "op7_packing": "packing",
+    "op8_decontamination": "decontamination",
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
 }
