@@ -11,6 +11,7 @@ _MODULES = {
     "op5_url_filters": "url_filters",
     "op2_token_counts": "token_counts",
     "op3_quality_classifier": "quality_classifier",
+    "op4_jaccard_join": "jaccard_join",
     "op6_token_files": "token_files",
     "op7_packing": "packing",
     "op8_decontamination": "decontamination",
