@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op5_url_filters": "url_filters",
+    "op1_masked_lm": "masked_lm",
     "op2_token_counts": "token_counts",
     "op3_quality_classifier": "quality_classifier",
     "op4_jaccard_join": "jaccard_join",
