@@ -16,8 +16,9 @@ import pyarrow as pa
 
 from linkscore.llm.text_arrays import bytes_and_offsets
 
-#: Pieces whose ids a worker keeps; it forgets all when there are more.
-MAX_KEPT = 400_000
+#: Pieces whose ids a worker keeps in each of two generations; the older one is forgotten when the newer
+#: one is full, except for what has been used since.
+MAX_KEPT = 200_000
 #: Stands between pieces that the library encodes together: white space and a character that none has.
 _MARK = b" \x01"
 #: Pieces with a cut before and after them, by the rule of ``cuts``: safe to put next to each other.
@@ -50,6 +51,11 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _SPACE, _VISIBLE, _LEAD, _LETTER, _MARKS = 1, 2, 4, 8, 16
 
 
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+_FOLDED[9:14] = 32
+
+
 def _kinds() -> np.ndarray:
     kind = np.zeros(256, np.uint8)
     kind[[*b" \t\n\x0b\x0c\r"]] |= _SPACE
@@ -75,6 +81,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.folds = self._folds()
         self.mark = self._ids([_MARK.decode()])[0]
 
     @classmethod
@@ -83,6 +91,12 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    def _folds(self) -> bool:
+        """Whether capitals and kinds of white space make no difference to this tokenizer."""
+        pairs = [(chr(c), chr(c + 32)) for c in range(65, 91)] + [(f"{w}a", " a") for w in "\t\n\x0b\x0c\r"]
+        found = self._ids([f"x{side}" for pair in pairs for side in pair])
+        return all(a.tolist() == b.tolist() for a, b in zip(found[::2], found[1::2]))
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
@@ -97,8 +111,17 @@ class Encoder:
         return [raw[a : b - m] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        kept = self.kept
-        new = [p for p in pieces if p not in kept]
+        if len(self.kept) > MAX_KEPT:
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        new = []
+        for p in pieces:
+            if p not in kept:
+                ids = older.get(p)
+                if ids is None:
+                    new.append(p)
+                else:
+                    kept[p] = ids
         joint = [p for p in new if _JOINABLE.fullmatch(p)]
         rest = list(set(new).difference(joint))
         fresh = {}
@@ -109,8 +132,6 @@ class Encoder:
             part = rest[a : a + 1_000]
             fresh.update((p, x.tobytes()) for p, x in zip(part, self._ids([p.decode() for p in part])))
         out = [kept[p] if p in kept else fresh[p] for p in pieces]
-        if len(kept) + len(fresh) > MAX_KEPT:
-            kept.clear()
         # Long pieces are rare; they would fill the memory.
         kept.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
         return out
@@ -118,6 +139,9 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's start, and the end. Null is empty."""
         data, offsets = bytes_and_offsets(texts)
+        if self.folds and not ((data[:-1] == 60) & (data[1:] == 124)).any():
+            # No special string ("<|...|>") can come to be by this.
+            data = _FOLDED[data]
         bounds = cuts(data, offsets)
         pieces = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]

@@ -48,6 +48,7 @@ class Grammar:
     base: int
     rules: np.ndarray  # (k, 2), of earlier symbols
     sequence: np.ndarray
+    pool: tuple | None = None
 
     def lengths(self) -> np.ndarray:
         """Tokens of each nonterminal."""
@@ -64,18 +65,31 @@ class Grammar:
         return np.where(sequence < self.base, 1, lengths[np.maximum(sequence - self.base, 0)])
 
     def expand(self, sequence: np.ndarray | None = None) -> np.ndarray:
-        """All tokens of a sequence of symbols, the latest rules undone first."""
+        """All tokens of a sequence of symbols.
+
+        The tokens of every nonterminal are written down once, after those of the symbols it stands
+        for; a sequence is then put together from these stretches.
+        """
         x = self.sequence if sequence is None else sequence
-        while len(x) and int(x.max()) >= self.base:
-            large = x >= self.base
-            width = np.where(large, 2, 1)
-            at = np.cumsum(width) - width
-            out = np.empty(int(width.sum()), np.int64)
-            out[at[~large]] = x[~large]
-            pairs = self.rules[x[large] - self.base]
-            out[at[large]], out[at[large] + 1] = pairs[:, 0], pairs[:, 1]
-            x = out
-        return x
+        if not len(self.rules):
+            return x.astype(np.int64)
+        if self.pool is None:
+            known: list[list[int]] = []
+            for pair in self.rules.tolist():
+                known.append([t for s in pair for t in ([s] if s < self.base else known[s - self.base])])
+            lengths = np.array([len(k) for k in known], np.int64)
+            at = np.cumsum(lengths) - lengths + self.base
+            # In front of them every id stands for itself.
+            flat = np.fromiter((t for k in known for t in k), np.int32, int(lengths.sum()))
+            self.pool = (
+                np.concatenate([np.arange(self.base, dtype=np.int32), flat]),
+                np.concatenate([np.arange(self.base), at]),
+                np.concatenate([np.ones(self.base, np.int64), lengths]),
+            )
+        pool, at, lengths = self.pool
+        width = lengths[x]
+        ends = np.cumsum(width)
+        return pool[np.repeat(at[x] - (ends - width), width) + np.arange(ends[-1] if len(ends) else 0)]
 
     def decode_range(self, start: int, end: int, lengths: np.ndarray | None = None) -> np.ndarray:
         """Tokens start to end, expanding only the symbols that have some of them."""
@@ -183,7 +197,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         id_kind = pa.int64()
         for whole in batches:
             id_kind = whole.column("doc_id").type
-            for batch in chunks(whole):
+            for batch in chunks(whole, 8_000_000):
                 ids, offsets = with_end(*encoder.encode(batch.column("text")), end_id)
                 waiting.append((batch.column("doc_id").to_pylist(), np.diff(offsets), ids))
                 if sum(len(part[2]) for part in waiting) >= BLOCK_IDS:
