@@ -245,31 +245,34 @@ def _aligned(b, offsets, w: Windows, window, first, text, width) -> dict[str, np
     }
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item with a passage of it: doc_id, item_id, start and end (bytes of the
-    document's UTF-8 text, from the first window found to the last), and edits of the best window."""
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame) -> Iterator[tuple[list, object]]:
+    """Item ids and the broadcast windows of each block of items."""
+    spark = benchmark.sparkSession
     texts = benchmark.select("item_id", "text").dropna(subset=["text"])
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // BLOCK_BYTES))
     texts = texts.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (texts, "item_id"))}
-    schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start long, end long, edits long"
-
-    def one_block(number: int) -> DataFrame:
+    for number in range(n_blocks):
         rows = texts.filter(F.col("_block") == number).orderBy("item_id", "text").collect()
-        ids = [r["item_id"] for r in rows]
-        shared = spark.sparkContext.broadcast(Windows.of([r["text"] for r in rows]))
+        yield [r["item_id"] for r in rows], spark.sparkContext.broadcast(Windows.of([r["text"] for r in rows]))
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item with a passage of it: doc_id, item_id, start and end (bytes of the
+    document's UTF-8 text, from the first window found to the last), and edits of the best window."""
+    kinds = {c: t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id"))}
+    schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, start long, end long, edits long"
 
+    def one_block(ids: list, shared) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = shared.value
             for whole in batches:
                 for batch in chunks(whole):
-                    b, offsets, source = normalised(*bytes_and_offsets(batch.column("text")))
+                    data, raw = bytes_and_offsets(batch.column("text"))
+                    b, offsets, source = normalised(data, raw)
                     found = occurrences(b, offsets, windows)
                     if not len(found["text"]):
                         continue
-                    _, raw = bytes_and_offsets(batch.column("text"))
                     begin = raw[found["text"]]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -284,7 +287,25 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(each, schema)
 
-    return reduce(DataFrame.unionByName, map(one_block, range(n_blocks)))
+    return reduce(DataFrame.unionByName, (one_block(*block) for block in blocks_of(benchmark)))
+
+
+def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in whose text no item occurs, with all columns."""
+
+    def one_block(rows: DataFrame, shared) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = shared.value
+            for whole in batches:
+                for batch in chunks(whole):
+                    b, offsets, _ = normalised(*bytes_and_offsets(batch.column("text")))
+                    clean = np.ones(batch.num_rows, bool)
+                    clean[occurrences(b, offsets, windows)["text"]] = False
+                    yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(each, rows.schema)
+
+    return reduce(lambda rows, block: one_block(rows, block[1]), blocks_of(benchmark), docs)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

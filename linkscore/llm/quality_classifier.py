@@ -141,20 +141,21 @@ def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
     return sums
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of ``docs``.
-
-    ``labels`` has doc_id and quality (0 or 1). Only rows that are not held out are learned from.
-    """
-    stated = materialized(with_statistics(docs), "statistics")
+def learn(stated: DataFrame, labels: DataFrame) -> Model | Constant:
+    """From rows of ``with_statistics`` that are not held out, and labels (doc_id, quality 0 or 1)."""
     known = (
         labels.select("doc_id", F.col("quality").cast("double"))
         .dropna()
         .groupBy("doc_id")
         .agg(F.round(F.avg("quality")).cast("long").alias("label"))
     )
-    learned = stated.filter(~F.col("held_out")).dropDuplicates(["doc_id"]).join(known, "doc_id")
-    model = fit(class_sums(learned))
+    return fit(class_sums(stated.filter(~F.col("held_out")).dropDuplicates(["doc_id"]).join(known, "doc_id")))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of ``docs``."""
+    stated = materialized(with_statistics(docs), "statistics")
+    model = learn(stated, labels)
     d = len(NAMES)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +177,19 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stated.mapInArrow(each, schema)
 
 
+def of_good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted 1, with all columns. Texts are read again, not shuffled."""
+    model = learn(materialized(with_statistics(docs), "statistics"), labels)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole):
+                score = model.score(statistics(*bytes_and_offsets(batch.column("text"))))
+                yield batch.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
