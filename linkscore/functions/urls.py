@@ -6,6 +6,8 @@ gives null for them, while links in the wild hold them all the time.
 
 from __future__ import annotations
 
+import urllib.parse
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,11 +18,8 @@ _RFC3986 = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
 DOMAIN_AFFIXES = ("www.", ".com", ".org")
 # Path words that carry no meaning.
 GENERIC_PATH_WORDS = ("index", "home", "page", "default")
-# Schemes whose last path segment may carry ``;parameters``.
-PARAMETER_SCHEMES = (
-    "", "ftp", "hdl", "http", "https", "mms", "prospero", "rtsp", "rtspu", "sftp", "shttp",
-    "sip", "sips", "tel",
-)
+# Schemes whose last path segment may carry ``;parameters``.
+PARAMETER_SCHEMES = tuple(sorted(urllib.parse.uses_params))
 # Characters that turn into / ? # @ or : under Unicode compatibility folding.
 _FOLDS_TO_DELIMITER = (
     "\u2047\u2048\u2049\u2100\u2101\u2105\u2106\u2a74\ufe13\ufe16"

@@ -8,8 +8,11 @@ or source URL are filters on grouping keys, so they are pushed below that resolu
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ HREF_COLUMNS = ("href_url", "source_url", "keyword", "relevance_score")
 # Keywords hash into this many directories, so that a keyword filter prunes without one directory
 # per keyword. The count is part of the layout: change it only together with a compaction.
 KEYWORD_BUCKETS = 64
+# What orders the stored rows of a key, the newest last.
+STORED_ORDER = ("version", "writer", "batch_id", "seq")
 
 
 def row_id() -> Column:
@@ -78,12 +83,28 @@ def keyword_bucket(keyword: Column) -> Column:
     return F.pmod(F.xxhash64(keyword), F.lit(KEYWORD_BUCKETS)).cast("int")
 
 
-def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+def _first_version(spark: SparkSession, folder: str) -> int:
+    """The commit version of a batch: the one it has if it was stored before, else the time now."""
+    try:
+        known = spark.read.schema("version bigint").parquet(folder).agg(F.min("version")).first()[0]
+    except AnalysisException:  # there is no such folder
+        known = None
+    return known or time.time_ns() // 1000
+
+
+def append_batch(rows: DataFrame, path: str, batch_id: int, writer: str = "run") -> None:
     """Store one batch; storing the same batch again replaces it, so a retried write is harmless.
 
+    Each writer numbers its own batches: ``writer`` names a job or a stream, and no writer touches
+    another one's rows. Which row of a key is the newest is decided by the commit version, a time in
+    microseconds that a batch keeps when it is written again. Rows may bring their own.
+
     Range partitioning by the whole key spreads a keyword or a source that has most of the rows
     over many tasks and files, and sorts each file for row-group skipping on the key.
     """
+    folder = f"{path}/writer={quote(writer, safe='')}/batch_id={batch_id}"
+    if "version" not in rows.columns:
+        rows = rows.withColumn("version", F.lit(_first_version(rows.sparkSession, folder)))
     laid_out = last_per_key(rows, "seq").withColumn("bucket", keyword_bucket(F.col("keyword")))
     order = ("bucket", "keyword", "href_url", "source_url")
     (
@@ -91,13 +112,15 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
         .partitionBy("bucket")
-        .parquet(f"{path}/batch_id={batch_id}")
+        .parquet(folder)
     )
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """All stored rows, replaced ones included, with ``seq``, ``batch_id`` and ``bucket``."""
-    schema = struct(CATALOG + ", seq decimal(38,0), bucket int, batch_id bigint")
+    """All stored rows, replaced ones included, with ``seq``, ``version`` and the names of folders."""
+    schema = struct(
+        CATALOG + ", seq decimal(38,0), version bigint, bucket int, writer string, batch_id bigint"
+    )
     return spark.read.schema(schema).parquet(path)
 
 
@@ -112,15 +135,14 @@ def current(
     if keyword:
         in_bucket = F.col("bucket") == keyword_bucket(F.lit(keyword))
         stored_rows = stored_rows.filter(in_bucket & (F.col("keyword") == keyword))
-    needed = stored_rows.select(*dict.fromkeys([*KEY, *columns, "batch_id", "seq"]))
-    return last_per_key(needed, "batch_id", "seq").select(*columns)
+    needed = stored_rows.select(*dict.fromkeys([*KEY, *columns, *STORED_ORDER]))
+    return last_per_key(needed, *STORED_ORDER).select(*columns)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the newest rows of ``path`` as the only batch of a new catalog ``target``."""
-    newest = last_per_key(stored(spark, path), "batch_id", "seq")
-    last_batch = stored(spark, path).agg(F.max("batch_id")).first()[0]
-    append_batch(newest.drop("bucket", "batch_id"), target, last_batch or 0)
+    newest = last_per_key(stored(spark, path), *STORED_ORDER)
+    append_batch(newest.drop("bucket", "batch_id", "writer"), target, 0, "compacted")
 
 
 # -- queries -----------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,5 +83,19 @@ def scrape_results(ranked: DataFrame, per_chunk: int = RESULTS_PER_CHUNK) -> Dat
 
 
 def percentage(score: Column) -> Column:
-    """Score as shown to people: percent with one decimal."""
-    return F.format_string("%.1f%%", score * 100)
+    """Score as shown to people: percent with one decimal, of the exact binary value, ties up.
+
+    The fraction of a double is a double, so it compares exactly with the double next to a limit
+    (0.05, 0.15, ...). Where they are equal, it counts on which side of the limit that double is.
+    """
+    percent = F.abs(score * 100)
+    whole = F.floor(percent)
+    fraction = percent - whole
+    tenths = F.lit(0)
+    for k in range(1, 11):
+        limit = (2 * k - 1) / 20
+        reached = fraction >= limit if Fraction(limit) >= Fraction(2 * k - 1, 20) else fraction > limit
+        tenths = tenths + reached.cast("int")
+    value = whole * 10 + tenths
+    sign = F.when((score < 0) & (value > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(value / 10), F.lit("."), F.pmod(value, F.lit(10)), F.lit("%"))

@@ -207,8 +207,8 @@ def oracle_sql() -> dict[str, str]:
                      CASE WHEN contains(url, '#') THEN '' ELSE html END AS html
               FROM pages)
             SELECT CASE WHEN url IS NULL THEN 'missing_url' ELSE 'empty_response' END AS error,
-                   CASE WHEN url IS NULL THEN 'No URL specified in target config'
-                        ELSE 'Received empty response from ' || url END AS message,
+                   CASE WHEN url IS NULL THEN 'A page has no URL'
+                        ELSE 'Nothing was received from ' || url END AS message,
                    url
             FROM p WHERE url IS NULL OR coalesce(html, '') = ''""",
         "q_robots": f"WITH {ROBOTS} SELECT page_id, url, allowed FROM decided",
@@ -401,8 +401,27 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY ALL""",
         "q_score_pct": f"""
             WITH {SCORED_LINKS}, {_BEST}
-            SELECT source_url, keyword, href_url, printf('%.1f%%', score * 100) AS shown
-            FROM best""",
+            , percent_parts AS (
+              SELECT source_url, keyword, href_url, CAST(floor(score * 100) AS BIGINT) AS whole,
+                score * 100 - floor(score * 100) AS f
+              FROM best
+            ), tenths AS (
+              -- Exact limits are below the double of 0.05, 0.45, ..., above that of 0.15, 0.35, ...
+              SELECT *, whole * 10 + CASE
+                WHEN f > 0.95::DOUBLE THEN 10 WHEN f > 0.85::DOUBLE THEN 9
+                WHEN f >= 0.75::DOUBLE THEN 8 WHEN f >= 0.65::DOUBLE THEN 7
+                WHEN f >= 0.55::DOUBLE THEN 6 WHEN f >= 0.45::DOUBLE THEN 5
+                WHEN f > 0.35::DOUBLE THEN 4 WHEN f >= 0.25::DOUBLE THEN 3
+                WHEN f > 0.15::DOUBLE THEN 2 WHEN f >= 0.05::DOUBLE THEN 1 ELSE 0 END AS n
+              FROM percent_parts
+            )
+            SELECT source_url, keyword, href_url, (n // 10) || '.' || (n % 10) || '%' AS shown
+            FROM tenths""",
+        "q_run_errors": f"""
+            WITH {ROBOTS}
+            SELECT 'robots_txt_error' AS error, url FROM decided
+            WHERE NOT allowed AND starts_with(url, 'https')
+            UNION ALL SELECT 'fetch_failed', 'http://absent.example/'""",
         "q_end_to_end": f"""
             WITH {SCORED_LINKS.replace("scored AS", "all_scored AS")}, {ROBOTS},
             scored AS (

@@ -503,5 +503,18 @@ def q_end_to_end(spark, sf_dir):
     return _ranked_columns(rank.rank_links(rank.best_links(outcome.items)))
 
 
+ABSENT_URL = "http://absent.example/"
+
+
+def q_run_errors(spark, sf_dir):
+    """Error records of a run for part of the pages and one URL that no page has."""
+    pages = _pages(spark, sf_dir)
+    urls = pages.select("url")
+    absent = spark.createDataFrame([(ABSENT_URL,)], "url string")
+    named = urls.filter(F.col("url").startswith("https")).unionByName(absent)
+    targets = named.withColumn("keyword", F.lit(KEYWORDS[0]))
+    return runs.run(pages, targets, _robots_files(urls)).errors.select("error", "url")
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("q_")}

@@ -13,7 +13,6 @@ from linkscore.operators.elements import elements
 from linkscore.operators.links import (
     ITEM_COLUMNS,
     extract_links,
-    link_items,
     links_from_elements,
     malformed_links,
     with_keywords,
@@ -21,7 +20,7 @@ from linkscore.operators.links import (
 from linkscore.operators.providers import Similarity
 from linkscore.operators.score import TEXT_TERMS, score_links, with_text_terms
 from linkscore.sources import robots, targets as tg
-from linkscore.sources.pages import page_errors, valid_pages
+from linkscore.sources.pages import error_records, page_error, valid_pages
 from linkscore.storage import materialized
 
 DEFAULT_CONTAINERS = ("body",)
@@ -70,15 +69,24 @@ def run(
     to the rows: markup is never shuffled.
     """
     targets = tg.with_default_container(targets)
-    wanted = tg.pages_of_targets(pages, targets)
-    valid = valid_pages(wanted)
-    errors = tg.target_errors(targets, containers).unionByName(page_errors(wanted))
+    urls, few = tg.target_urls(targets)
+    # All error records are of pages that some target names, however many targets there are. With
+    # few, the other pages are dropped at the scan; with many, slim rows are compared instead.
+    looked_at = tg.of_targets(pages, urls, few, F.col("page_id")) if few else pages
+    slim = pages.select("page_id", "url", page_error().alias("error"))
+    named = tg.of_targets(slim, urls, few, F.col("page_id"))
+    valid = valid_pages(looked_at)
+    errors = (
+        tg.target_errors(targets, containers)
+        .unionByName(tg.absent_pages(targets, pages))
+        .unionByName(error_records(named.select("error", "url")))
+    )
 
     refused = None
     if robots_files is not None:
         rules = robots.agent_rules(robots_files)
         small = robots.rules_are_small(rules)
-        decided = robots.with_decision(valid.select("page_id", "url"), rules, small)
+        decided = robots.with_decision(named.filter("error IS NULL").select("page_id", "url"), rules, small)
         errors = errors.unionByName(robots.robots_errors(decided))
         if small:
             valid = robots.with_decision(valid, rules, small).filter("allowed").drop("allowed")
@@ -88,11 +96,13 @@ def run(
     rows = materialized(elements(valid, containers, for_links=True), "elements")
     if refused is not None:
         rows = rows.join(refused, "page_id", "left_anti")
-    errors = errors.unionByName(malformed_links(rows))
-    links = tg.links_of_targets(links_from_elements(rows), targets)
-    return Run(score_links(link_items(links), similarity), errors)
+    malformed = malformed_links(rows)
+    errors = errors.unionByName(tg.of_targets(malformed, urls, few, F.col("message")))
+    # Texts are made into terms before the keywords of targets multiply the links.
+    links = tg.links_of_targets(with_text_terms(links_from_elements(rows)), targets, few)
+    return Run(score_links(links.select(*ITEM_COLUMNS, *TEXT_TERMS), similarity), errors)
 
 
-def store(run_output: Run, path: str, batch_id: int) -> None:
-    """Upsert the scored items into the catalog at ``path``."""
-    catalog.append_batch(catalog.catalog_rows(run_output.items), path, batch_id)
+def store(run_output: Run, path: str, batch_id: int, writer: str = "run") -> None:
+    """Upsert the scored items into the catalog at ``path``, as a batch of ``writer``."""
+    catalog.append_batch(catalog.catalog_rows(run_output.items), path, batch_id, writer)

@@ -47,12 +47,17 @@ def valid_pages(pages: DataFrame) -> DataFrame:
 def page_errors(pages: DataFrame) -> DataFrame:
     """Error records ``(error, message, url)`` of the pages that cannot be processed."""
     # Emptiness is all that counts here, so the markup is not carried along.
-    failed = pages.select(page_error().alias("error"), "url").filter(F.col("error").isNotNull())
+    return error_records(pages.select(page_error().alias("error"), "url"))
+
+
+def error_records(judged: DataFrame) -> DataFrame:
+    """Error records of ``(error, url)``; rows without error are left out."""
+    failed = judged.filter(F.col("error").isNotNull())
     missing = F.col("error") == "missing_url"
     return failed.select(
         "error",
-        F.when(missing, "No URL specified in target config")
-        .otherwise(F.concat(F.lit("Received empty response from "), F.col("url")))
+        F.when(missing, "A page has no URL")
+        .otherwise(F.concat(F.lit("Nothing was received from "), F.col("url")))
         .alias("message"),
         F.when(~missing, F.col("url")).alias("url"),
     )

@@ -1,6 +1,6 @@
 """Robots rules: reading the rule files and deciding which pages may be processed.
 
-Rule files arrive as a table ``(host, robots_txt)``, one row per host. Pages are decided on their
+Rule files arrive as a table ``(host, robots_txt)``, one row per host in any case of letters. Pages are decided on their
 ``(page_id, url)`` alone; markup takes no part in a shuffled join.
 """
 
@@ -51,8 +51,12 @@ def host_of(url: Column) -> Column:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    """Rule file lines with the number of the agent block they belong to."""
-    lines = files.select(
+    """Rule file lines with the number of the agent block they belong to.
+
+    Hosts are compared in lower case. Of several files of one host the first in text order counts.
+    """
+    one_each = files.groupBy(F.lower("host").alias("host")).agg(F.min("robots_txt").alias("robots_txt"))
+    lines = one_each.select(
         "host", F.posexplode(F.split("robots_txt", _LINE_ENDS)).alias("seq", "line")
     )
     content = F.regexp_extract("line", r"^([^#]*)", 1)
@@ -139,9 +143,8 @@ def with_decision(pages: DataFrame, rules: DataFrame, small: bool | None = None)
 def robots_errors(decided: DataFrame) -> DataFrame:
     """Error records of the pages that rules disallow."""
     reason = F.concat(
-        F.lit("This website's robots.txt file does not allow scraping: URL "),
+        F.lit("Refused by the rules of its host: "),
         F.col("url"),
-        F.lit(" is disallowed by robots.txt"),
     )
     return decided.filter(~F.col("allowed")).select(
         F.lit("robots_txt_error").alias("error"), reason.alias("message"), "url"

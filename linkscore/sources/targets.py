@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkscore.operators.skew import fits, salted_join
+from linkscore.operators.skew import fits, matching_join, salted_join
 
 # Up to this many target URLs the pages are cut down to them before they are parsed.
 MAX_BROADCAST_URLS = 1_000_000
@@ -29,28 +29,50 @@ def with_default_container(targets: DataFrame) -> DataFrame:
     )
 
 
-def pages_of_targets(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pages that some target names, where that can be told without shuffling markup.
+def target_urls(targets: DataFrame) -> tuple[DataFrame, bool]:
+    """The distinct URLs of targets, and whether they are few enough to be broadcast.
 
-    With few target URLs the others are dropped at the scan. With many, all pages are parsed and
-    :func:`links_of_targets` drops the links instead; the result is the same.
+    Pages without URL are no target's pages: a target without URL is an error of its own.
     """
-    urls = targets.select("url").distinct()
-    if fits(urls, MAX_BROADCAST_URLS):
-        return pages.join(F.broadcast(urls), "url", "left_semi")
-    return pages
+    urls = targets.select("url").filter(F.coalesce("url", F.lit("")) != "").distinct()
+    return urls, fits(urls, MAX_BROADCAST_URLS)
 
 
-def links_of_targets(links: DataFrame, targets: DataFrame) -> DataFrame:
+def of_targets(rows: DataFrame, urls: DataFrame, few: bool, spread: Column, column: str = "url") -> DataFrame:
+    """Rows whose URL some target names. With many URLs the rows are shuffled: hand in slim ones."""
+    named = urls.withColumnRenamed("url", column)
+    if few:
+        return rows.join(F.broadcast(named), column, "left_semi").select(*rows.columns)
+    return salted_join(rows, named, [column], spread, "left_semi").select(*rows.columns)
+
+
+def links_of_targets(links: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
     """Links once per keyword of their page and container.
 
-    The links of a page are spread over several tasks, so a URL with very many links is no
-    straggler; only the targets are copied for that.
+    Few targets are broadcast. Otherwise the links of a page are spread over several tasks, so a URL
+    with very many links is no straggler; only the targets are copied for that.
     """
     wanted = targets.filter(F.col("url").isNotNull()).select(
         F.col("url").alias("source_url"), "keyword", "container"
     )
-    return salted_join(links, wanted, ["source_url", "container"], F.col("link_pos"), "inner")
+    on = ["source_url", "container"]
+    if few and fits(wanted, MAX_BROADCAST_URLS):
+        return matching_join(links, F.broadcast(wanted), on, "inner")
+    return salted_join(links, wanted, on, F.col("link_pos"), "inner")
+
+
+def absent_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """Error records of target URLs that no page has, and of a list without targets."""
+    urls, _ = target_urls(targets)
+    seen = pages.select("url").distinct()
+    missing = urls.join(seen, "url", "left_anti").select(
+        F.lit("fetch_failed").alias("error"), F.concat(F.lit("There is no page of "), F.col("url")).alias("message"), "url"
+    )
+    none = targets.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+        F.lit("missing_targets").alias("error"), F.lit("There are no targets").alias("message"),
+        F.lit(None).cast("string").alias("url"),
+    )
+    return missing.unionByName(none)
 
 
 def target_errors(targets: DataFrame, containers: Sequence[str]) -> DataFrame:
@@ -59,7 +81,7 @@ def target_errors(targets: DataFrame, containers: Sequence[str]) -> DataFrame:
         ~is_supported_container(F.col("container")) | ~F.col("container").isin(*containers),
         "unsupported_selector",
     )
-    message = F.when(F.col("error") == "missing_url", "No URL specified in target config").otherwise(
+    message = F.when(F.col("error") == "missing_url", "A target has no URL").otherwise(
         F.concat(F.lit("Container is not searched: "), F.col("container"))
     )
     return (

@@ -8,8 +8,10 @@ arrival order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,13 @@ from linkscore.operators.links import extract_links, link_items, with_keywords
 from linkscore.schemas import LINK_ITEM, struct
 from linkscore.sources.pages import page_errors, valid_pages
 
-# Fixed value: input files a stage takes per micro-batch when not told otherwise.
-BATCH_FILES = 10
+# Input a stage takes per micro-batch when not told otherwise.
+BATCH_BYTES = 16 << 30
 
 CORRUPT = "malformed"
 # Directory levels below a stage's output.
-STAGE_PARTITIONS = ", batch_id bigint, outcome string"
+STAGE_PARTITIONS = ", writer string, batch_id bigint, outcome string"
+_FOLDERS = ("writer", "batch_id", "outcome")
 
 
 def publish(items: DataFrame, queue: str) -> None:
@@ -45,7 +48,7 @@ def read_queue(
     spark: SparkSession,
     queue: str,
     schema: str = LINK_ITEM,
-    max_files: int = BATCH_FILES,
+    max_files: int | None = None,
     archive: str | None = None,
     from_stage: bool = False,
 ) -> DataFrame:
@@ -60,12 +63,15 @@ def read_queue(
         spark.readStream.schema(struct(fields))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("maxFilesPerTrigger", max_files)
     )
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     items = reader.json(queue)
-    return items.filter("outcome = 'ok'").drop("batch_id", "outcome") if from_stage else items
+    return items.filter("outcome = 'ok'").drop(*_FOLDERS) if from_stage else items
 
 
 def stage_items(
@@ -74,7 +80,7 @@ def stage_items(
     """Items a stage has written: the processed ones, or with ``failed`` its dead letters."""
     written = spark.read.schema(struct(f"{schema}, {CORRUPT} string" + STAGE_PARTITIONS))
     items = written.option("columnNameOfCorruptRecord", "_none").json(output)
-    return items.filter(F.col("outcome") == outcome).drop("batch_id", "outcome")
+    return items.filter(F.col("outcome") == outcome).drop(*_FOLDERS)
 
 
 def peek(items: DataFrame) -> DataFrame:
@@ -96,14 +102,19 @@ def run_stage(
     """Process everything in the source queue and stop.
 
     ``process`` must give a null ``result_column`` for items it cannot handle. A batch is computed
-    and written once, split by outcome: ``output/batch_id=N/outcome=ok`` is for the next stage,
-    ``outcome=failed`` holds the dead letters. A batch that is retried after a failure overwrites its own
-    directory, so nothing is forwarded twice; nothing is dropped and there is no item limit.
+    and written once, split by outcome: ``output/writer=W/batch_id=N/outcome=ok`` is for the next
+    stage, ``outcome=failed`` holds the dead letters. W belongs to the checkpoint, so stages that share
+    an output do not meet. A batch that is retried after a failure overwrites its own directory under
+    new file names; a next stage that has read the old ones by then reads its items again (the catalog
+    takes them once). Nothing is dropped and there is no item limit.
     """
+    writer = writer_id(source.sparkSession, checkpoint)
 
     def process_batch(batch: DataFrame, batch_id: int) -> None:
         done = process(batch).withColumn("outcome", succeeded(result_column))
-        done.write.mode("overwrite").partitionBy("outcome").json(f"{output}/batch_id={batch_id}")
+        done.write.mode("overwrite").partitionBy("outcome").json(
+            f"{output}/writer={writer}/batch_id={batch_id}"
+        )
 
     _run_to_end(source, process_batch, checkpoint)
 
@@ -113,15 +124,18 @@ def run_extract_stage(
 ) -> None:
     """Turn everything in a stream of pages into items for the scoring stage and stop.
 
-    ``output/batch_id=N`` holds the items of a micro-batch and ``output_errors/batch_id=N`` the
-    error records of its pages; a retry replaces both. ``output`` is a queue for the next stage.
+    ``output/writer=W/batch_id=N`` holds the items of a micro-batch and the same folder below
+    ``output_errors`` the error records of its pages; a retry replaces both. ``output`` is a queue
+    for the next stage.
     """
+    writer = writer_id(pages.sparkSession, checkpoint)
 
     def extract_batch(batch: DataFrame, batch_id: int) -> None:
-        page_errors(batch).write.mode("overwrite").json(f"{output}_errors/batch_id={batch_id}")
+        folder = f"writer={writer}/batch_id={batch_id}"
+        page_errors(batch).write.mode("overwrite").json(f"{output}_errors/{folder}")
         links = extract_links(valid_pages(batch))
         items = link_items(with_keywords(links, keywords))
-        items.write.mode("overwrite").json(f"{output}/batch_id={batch_id}")
+        items.write.mode("overwrite").json(f"{output}/{folder}")
 
     _run_to_end(pages, extract_batch, checkpoint)
 
@@ -129,15 +143,27 @@ def run_extract_stage(
 def run_store_stage(source: DataFrame, path: str, checkpoint: str) -> None:
     """Upsert everything in a queue of scored items into the catalog at ``path`` and stop.
 
-    Each micro-batch is one catalog batch under the same number, so a retry replaces it.
+    Each micro-batch is one catalog batch of the checkpoint's writer under the same number, so a
+    retry replaces it, and nothing else does.
     """
+    writer = writer_id(source.sparkSession, checkpoint)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        catalog.append_batch(catalog.catalog_rows(batch.drop(CORRUPT)), path, batch_id)
+        catalog.append_batch(catalog.catalog_rows(batch.drop(CORRUPT)), path, batch_id, writer)
 
     _run_to_end(source, store_batch, checkpoint)
 
 
+def writer_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name under which a checkpoint's stage writes: made up once, and kept in the checkpoint."""
+    kept = f"{checkpoint}/writer"
+    try:
+        return spark.read.text(kept).first()[0]
+    except AnalysisException:  # the first run
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(kept)
+        return spark.read.text(kept).first()[0]
+
+
 def _run_to_end(
     source: DataFrame, batch_function: Callable[[DataFrame, int], None], checkpoint: str
 ) -> None:

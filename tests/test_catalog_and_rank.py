@@ -1,8 +1,9 @@
 """Catalog, ranking, and the joins and numbering that must hold for hot keys."""
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import json
 import random
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,9 +199,37 @@ def test_results_are_whole_whatever_the_chunk(spark):
 
 
 def test_percentage(spark):
-    table = spark.createDataFrame([(0.981984,), (0.5,), (0.0,)], "s double")
-    shown = [r[0] for r in table.select(rank.percentage(F.col("s"))).collect()]
-    assert shown == ["98.2%", "50.0%", "0.0%"]
+    fixed = {0.981984: "98.2%", 0.5: "50.0%", 0.0: "0.0%", 0.8885: "88.8%", 0.0015: "0.1%", 0.0025: "0.3%", 1.0: "100.0%", 0.99996: "100.0%"}
+    scores = [*fixed, *(k / 20000 for k in range(0, 20000, 7))]
+    table = spark.createDataFrame([(s,) for s in scores], "s double")
+    shown = {r[0]: r[1] for r in table.select("s", rank.percentage(F.col("s"))).collect()}
+    for s in scores:
+        exact = Decimal(s * 100).quantize(Decimal("0.1"), ROUND_HALF_UP)
+        assert shown[s] == f"{exact}%" and fixed.get(s, shown[s]) == shown[s]
+
+
+def test_writers_do_not_replace_each_other(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+
+    def rows(score, *hrefs):
+        table = spark.createDataFrame([(h, score, i) for i, h in enumerate(hrefs)], "href_url string, relevance_score double, seq int")
+        return table.select(
+            F.lit("i").alias("id"), F.lit("k").alias("keyword"),
+            F.lit("s").alias("source_url"), "href_url", "relevance_score", F.lit("{}").alias("raw_data"),
+            F.current_timestamp().alias("processed_date"), F.col("seq").cast("decimal(38,0)").alias("seq"),
+        )
+
+    catalog.append_batch(rows(0.1, "a", "b"), path, 7, "one")
+    catalog.append_batch(rows(0.2, "b", "c"), path, 0, "two")
+    catalog.append_batch(rows(0.1, "a", "b"), path, 7, "one")  # again: keeps its place in time
+    catalog.append_batch(rows(0.3, "d"), path, 7, "two")
+
+    def scores(folder):
+        return {r["href_url"]: r["relevance_score"] for r in catalog.current(catalog.stored(spark, folder)).collect()}
+
+    assert scores(path) == {"a": 0.1, "b": 0.2, "c": 0.2, "d": 0.3}
+    catalog.compact(spark, path, str(tmp_path / "new"))
+    assert scores(str(tmp_path / "new")) == scores(path)
 
 
 def hot_left(spark):

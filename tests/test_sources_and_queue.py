@@ -20,11 +20,11 @@ def test_page_errors(spark):
     rows = [(1, "http://a", "x"), (2, "", "x"), (3, None, None), (4, "http://b", ""), (5, "c", None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     assert [r.page_id for r in valid_pages(pages).collect()] == [1]
-    empty = "Received empty response from "
+    empty = "Nothing was received from "
     assert sorted(map(tuple, page_errors(pages).collect()), key=str) == sorted(
         [
-            ("missing_url", "No URL specified in target config", None),
-            ("missing_url", "No URL specified in target config", None),
+            ("missing_url", "A page has no URL", None),
+            ("missing_url", "A page has no URL", None),
             ("empty_response", empty + "http://b", "http://b"),
             ("empty_response", empty + "c", "c"),
         ],
@@ -125,6 +125,7 @@ def test_run_gives_the_same_with_small_and_large_side_tables(spark, monkeypatch,
     assert {
         ("missing_url", None), ("unsupported_selector", "http://h1/python3"),
         ("empty_response", "http://h0/empty"), ("robots_txt_error", "http://h0/rust2"),
+        ("fetch_failed", "http://nowhere"),
     } == errors
 
 
@@ -191,7 +192,7 @@ def test_page_stream_gives_the_items_of_the_batch_run(spark, tmp_path):
     sample_pages(spark).repartition(3).write.parquet(landing)
     stream = read_page_stream(spark, landing, max_files=1)
     queue.run_extract_stage(stream, ["Python", "java"], output, str(tmp_path / "c"))
-    items = spark.read.schema(items_of(spark).schema).json(output).drop("batch_id")
+    items = spark.read.schema(items_of(spark).schema).json(output).drop("writer", "batch_id")
     assert sorted(map(str, items.collect())) == sorted(map(str, items_of(spark).collect()))
     errors = spark.read.json(output + "_errors")
     assert [r.error for r in errors.collect()] == ["empty_response"]
@@ -260,3 +261,46 @@ def test_a_source_with_most_of_the_links(spark):
     plain = {tuple(r) for r in rank.rank_links(best).collect()}
     assert plain == {tuple(r) for r in rank.rank_links(best, hot_rows=50).collect()}
     assert len(plain) == 498
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_run_reports_the_same_errors_for_few_and_many_targets(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(targets, "MAX_BROADCAST_URLS", 0)
+        monkeypatch.setattr(robots, "MAX_BROADCAST_CHARS", 0)
+    bad_link = "<body><a href='http://[x/'>kw</a><a href='/fine'>kw</a></body>"
+    rows = [
+        (1, "http://a/1", bad_link), (2, "http://a/2", ""), (3, "http://b/1", bad_link),
+        (4, "http://b/2", ""), (5, None, bad_link), (6, "http://c/1", bad_link), (7, "http://d/1", bad_link),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    wanted = [(u, "kw") for u in ("http://a/1", "http://a/2", "http://c/1", "http://gone/", None)]
+    table = spark.createDataFrame(wanted, "url string, keyword string")
+    files = spark.createDataFrame(
+        [(h, "User-agent: *\nDisallow: /") for h in ("C", "d")], "host string, robots_txt string"
+    )
+    outcome = runs.run(pages, table, files)
+    assert sorted((r["error"], r["url"] or "") for r in outcome.errors.collect()) == [
+        ("empty_response", "http://a/2"), ("fetch_failed", "http://gone/"), ("invalid_link", "http://a/1"),
+        ("missing_url", ""), ("robots_txt_error", "http://c/1"),
+    ]
+    assert [(r["source_url"], r["href"]) for r in outcome.items.collect()] == [("http://a/1", "/fine")]
+
+
+def test_run_without_targets(spark):
+    table = spark.createDataFrame([], "url string, keyword string")
+    outcome = runs.run(sample_pages(spark), table)
+    assert outcome.items.collect() == []
+    assert [r["error"] for r in outcome.errors.collect()] == ["missing_targets"]
+
+
+def test_robots_hosts_in_any_case_and_repeated(spark):
+    files = spark.createDataFrame(
+        [("H0", "User-agent: *\nDisallow: /secret"), ("h0", "User-agent: *\nDisallow: /z"), ("h1", "User-agent: *\nDisallow:")],
+        "host string, robots_txt string",
+    )
+    pages = spark.createDataFrame(
+        [(1, "http://h0/secret"), (2, "http://H0/z"), (3, "http://h1/secret")], "page_id bigint, url string"
+    )
+    decided = robots.with_decision(pages, robots.agent_rules(files)).collect()
+    assert {r["page_id"]: r["allowed"] for r in decided} == {1: False, 2: True, 3: True}
