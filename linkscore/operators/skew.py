@@ -55,7 +55,8 @@ def salted_join(
 def hot_keys(table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The keys with the most rows, if those are many; never more than ``MAX_HOT_KEYS`` keys."""
     counts = table.filter(F.col(key).isNotNull()).groupBy(key).count()
-    most = counts.filter(F.col("count") >= hot_rows).orderBy(F.desc("count")).limit(MAX_HOT_KEYS)
+    # The order is total: all uses of the keys must see the same ones.
+    most = counts.filter(F.col("count") >= hot_rows).orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS)
     return most.select(key)
 
 

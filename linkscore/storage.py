@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(SETTING, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"{SETTING} must name a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="linkscore-")
     spark.conf.set(SETTING, folder)
