@@ -84,3 +84,37 @@ def test_scores_word_by_word(make_docs):
 def test_empty_table(make_docs):
     none = make_docs("x").filter("false")
     assert M.score(none, *M.train(none)).collect() == []
+
+
+def test_every_word_has_its_own_probability(make_docs, monkeypatch):
+    """Words beyond the numbered ones: by their counts in the corpus, whatever part of these is broadcast."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(1_500)] * 3 + [f"r{i}" for i in range(600)] * 2 + [f"s{i}" for i in range(600)]
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 60]) for i in range(0, len(words), 60)]
+    docs = make_docs(*texts, None, "r1 r1 s2")
+    known, network = M.train(docs)
+    fresh = docs.unionByName(make_docs((None, "never seen s1"), (None, "w3"), (7, "r5")))
+    out = sorted(map(str, M.score(fresh, known, network).select("doc_id", "n_words", F.round("log_likelihood", 6)).collect()))
+
+    counts = {}
+    for word in words + ["r1", "r1", "s2"]:
+        counts[word] = counts.get(word, 0) + 1
+    hashes = M.word_hashes(pa.array([" ".join(counts)]))[0]
+    numbers = known.value.number(hashes)
+    logs, absent = known.value.log_shares(hashes, numbers)
+    assert not len(absent)
+    n = np.array(list(counts.values()))
+    for number in range(M.NUMBERS):
+        here = numbers == number
+        want = 1 if number < M.NUMBERS - M.BUCKETS else n[here] / (n[here].sum() + 1)
+        assert np.allclose(np.exp(logs[here]), want), number
+    new, at = known.value.log_shares(*(lambda h: (h, known.value.number(h)))(M.word_hashes(pa.array(["qqzx"]))[0]))
+    assert len(at) == 1 and new[0] < logs.min()
+
+    for most in (800, 0):
+        monkeypatch.setattr(M, "MAX_KNOWN", most)
+        less = docs.sparkSession.sparkContext.broadcast(M.vocabulary(docs))
+        assert less.value.below and len(less.value.more) <= most
+        again = M.score(fresh, less, network).select("doc_id", "n_words", F.round("log_likelihood", 6))
+        assert sorted(map(str, again.collect())) == out
