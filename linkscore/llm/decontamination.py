@@ -170,23 +170,32 @@ def occurrences(b: np.ndarray, offsets: np.ndarray, w: Windows) -> dict[str, np.
 
 
 def _verified(b, offsets, w: Windows, hits, found) -> dict[str, np.ndarray]:
+    # Every text is looked at for itself; q-grams that go on in the next one are in no passage.
+    text = np.searchsorted(offsets, hits, side="right") - 1
+    inside = hits + Q <= offsets[text + 1]
+    hits, found, text = hits[inside], found[inside], text[inside]
+    if not len(hits):
+        return {n: np.empty(0, np.int64) for n in ("text", "item", "start", "end", "edits")}
     count = w.first[found + 1] - w.first[found]
     at = np.repeat(w.first[found] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     window, place, position = w.window[at], w.place[at], np.repeat(hits, count)
+    first_text, n_texts = int(text[0]), int(text[-1] - text[0]) + 1
+    text = np.repeat(text - first_text, count)
     width = int(budget(w.lengths).max()) + 1
     diagonal = position - place
-    low = diagonal.min() if len(diagonal) else 0
+    low = diagonal.min()
     band = (diagonal - low) // width
-    n_bands = int(band.max()) + 2 if len(band) else 1
+    n_bands = int(band.max()) + 2
     # Each hit counts in the band that starts at or before its diagonal and in the one before that.
     keys = np.concatenate([window * n_bands + band, window * n_bands + np.maximum(band - 1, 0)])
-    cells = np.unique(keys * WINDOW + np.concatenate([place, place]))
-    keys, shared = np.unique(cells // WINDOW, return_counts=True)
-    window, band = keys // n_bands, keys % n_bands
+    keys, number = np.unique(keys, return_inverse=True)
+    cells = np.unique((number * n_texts + np.concatenate([text, text])) * WINDOW + np.concatenate([place, place]))
+    cells, shared = np.unique(cells // WINDOW, return_counts=True)
+    number, text = cells // n_texts, cells % n_texts + first_text
+    window, band = keys[number] // n_bands, keys[number] % n_bands
     enough = shared >= least_shared(w.lengths[window])
-    window, band = window[enough], band[enough]
+    window, band, text = window[enough], band[enough], text[enough]
     first = band * width + low
-    text = np.searchsorted(offsets, np.clip(first + width + w.lengths[window] // 2, 0, len(b) - 1), side="right") - 1
     out = []
     for a in range(0, len(window), 2_000):
         part = slice(a, a + 2_000)

@@ -93,3 +93,22 @@ def test_empty_tables(spark, make_docs):
     some = spark.createDataFrame([(1, "some item that is long enough")], "item_id long, text string")
     assert D.find_passages(make_docs("some item that is long enough"), none).collect() == []
     assert D.find_passages(make_docs("x").filter("false"), some).collect() == []
+
+
+@pytest.mark.parametrize("n", [8, 9, 12, 19, 21])
+def test_texts_of_a_short_item_only(n):
+    """Also the first and the last of several texts, and one that two texts have half of each."""
+    item = "abcdefghijklmnopqrstu"[:n]
+    long = "an item of some length sets how broad the bands of diagonals are, whatever the others " * 2
+    windows = D.Windows.of([item, long])
+    for texts, want in (
+        ([item, "some other text", "and one more"], [0]),
+        (["some other text", item, "and one more"], [1]),
+        ([item, item, item], [0, 1, 2]),
+        (["", item, "", "x", item], [1, 4]),
+        ([item[: n // 2], item[n // 2 :]], []),
+    ):
+        b, offsets, _ = D.normalised(*bytes_and_offsets(pa.array(texts, pa.large_string())))
+        out = D.occurrences(b, offsets, windows)
+        assert out["text"].tolist() == want and set(out["item"].tolist()) <= {0}
+        assert [b[x:y].tobytes().decode() for x, y in zip(out["start"], out["end"])] == [item] * len(want)
