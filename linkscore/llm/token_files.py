@@ -2,8 +2,9 @@
 
 Documents are range-partitioned and sorted by doc_id; each partition is a shard. A shard's ids are
 compressed in blocks by Re-Pair: in every round the frequent pairs of adjacent symbols get a new symbol
-(a nonterminal) each, until too few pairs are frequent. A block keeps its rules, the length that every
-nonterminal expands to, the remaining symbols, and the ids and token counts of its documents. With the
+(a nonterminal) each, until no pair occurs ``LEAST_COUNT`` times. A block is the unit of a grammar: it
+keeps its rules, the length that every nonterminal expands to, the remaining symbols, and the ids and
+token counts of its documents. With the
 expansion lengths, any stretch of tokens is found and decoded without the rest (``decode_range``).
 
 The blocks are rows of a Parquet table, so any store that Spark writes to will do; it has the columns
@@ -36,8 +37,9 @@ from linkscore.storage import new_folder
 END_ID = 2
 #: Token ids in a block, about: what a task compresses and a reader decodes at once.
 BLOCK_IDS = 2_000_000
-#: A pair is replaced when it occurs so often; the most frequent so many in each round.
-LEAST_COUNT, PAIRS_A_ROUND, ROUNDS = 24, 2_000, 7
+#: A pair is replaced when it occurs so often; in a round, those at least one in so many times as often as
+#: the most frequent one.
+LEAST_COUNT, STEP_DOWN = 12, 32
 _BITS = 20
 
 
@@ -102,40 +104,50 @@ class Grammar:
 
 
 def compress(ids: np.ndarray) -> Grammar:
-    """Re-Pair, with all frequent pairs of a round replaced together (leftmost first on overlaps)."""
+    """Re-Pair, with the frequent pairs of a round replaced together. Of overlapping pairs the more
+    frequent one is replaced, of equal ones the leftmost; so the most frequent pair always is."""
     x = ids.astype(np.int32)
     base = symbol = int(x.max(initial=0)) + 1
     rules = []
-    for _ in range(ROUNDS):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         bucket = x[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)
         bucket ^= x[1:].astype(np.uint32) * np.uint32(0x85EBCA77)
         bucket = (bucket * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _BITS)
-        counts = np.bincount(bucket, minlength=1 << _BITS)
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        often = often[np.argsort(-counts[often], kind="stable")[:PAIRS_A_ROUND]]
-        if not len(often):
-            break
-        # A bucket stands for the pair at its last place; other pairs in it wait for a later round.
-        place = np.zeros(1 << _BITS, np.int64)
-        place[bucket] = np.arange(len(bucket))
-        rank = np.full(1 << _BITS, -1, np.int32)
-        rank[often] = np.arange(len(often))
-        left, right = x[place[often]], x[place[often] + 1]
-        at = np.flatnonzero(rank[bucket] >= 0)
-        code = rank[bucket[at]]
-        exact = (x[at] == left[code]) & (x[at + 1] == right[code])
-        frequent = np.bincount(code[exact], minlength=len(often)) >= LEAST_COUNT
-        exact &= frequent[code]
-        at, code = at[exact], code[exact]
-        if not len(at):
+        # A pair is at most as frequent as its bucket; those of the other buckets are counted exactly.
+        at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
+        code = (x[at].astype(np.int64) << 32) | x[at + 1]
+        pairs, counts = np.unique(code, return_counts=True)
+        if counts.max(initial=0) < LEAST_COUNT:
             break
+        often = np.flatnonzero(counts >= max(LEAST_COUNT, int(counts.max()) // STEP_DOWN))
+        often = often[np.argsort(-counts[often], kind="stable")]
+        wanted = np.zeros(1 << _BITS, bool)
+        left, right = (pairs[often] >> 32).astype(np.int32), (pairs[often] & 0xFFFFFFFF).astype(np.int32)
+        mark = left.astype(np.uint32) * np.uint32(0x9E3779B1)
+        mark ^= right.astype(np.uint32) * np.uint32(0x85EBCA77)
+        wanted[(mark * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _BITS)] = True
+        some = wanted[bucket[at]]
+        at, code = at[some], code[some]
+        order = np.argsort(pairs[often])
+        ordered = pairs[often][order]
+        found = np.minimum(np.searchsorted(ordered, code), len(ordered) - 1)
+        exact = ordered[found] == code
+        at, rank = at[exact], order[found[exact]]
+        # Places of pairs that overlap a more frequent one wait for a later round.
+        touch = np.diff(at) == 1
+        stays = np.ones(len(at), bool)
+        stays[1:] &= ~(touch & (rank[1:] > rank[:-1]))
+        stays[:-1] &= ~(touch & (rank[:-1] > rank[1:]))
+        at, rank = at[stays], rank[stays]
         new_run = np.concatenate([[True], np.diff(at) != 1])
         run_start = at[new_run][np.cumsum(new_run) - 1]
         kept = (at - run_start) % 2 == 0
-        at, code = at[kept], code[kept]
-        used, renumbered = np.unique(code, return_inverse=True)
+        at, rank = at[kept], rank[kept]
+        # So do pairs of which too few places are left.
+        enough = np.bincount(rank, minlength=len(often)) >= LEAST_COUNT
+        enough[0] = True
+        at, rank = at[enough[rank]], rank[enough[rank]]
+        used, renumbered = np.unique(rank, return_inverse=True)
         rules.append(np.column_stack([left[used], right[used]]))
         x[at] = symbol + renumbered
         symbol += len(used)

@@ -120,3 +120,18 @@ def test_empty_tables(spark, make_docs, tmp_path):
     assert K.packed(none).collect() == []
     T.write_token_files(none, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"))
     assert T.read_token_files(spark, str(tmp_path / "t")).collect() == []
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    """A long passage in many copies is a few symbols each; no pair is left out for its hash or its round."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 40_000, 3_000)
+    ids = np.concatenate([part for k in range(40) for part in (passage, [50_000 + k])])
+    g = T.compress(ids)
+    assert g.expand().tolist() == ids.tolist()
+    assert len(g.sequence) < 200
+    for ids in (rng.integers(0, 90, 60_000), np.full(5_000, 7)):
+        g = T.compress(ids)
+        assert g.expand().tolist() == ids.tolist()
+        code = g.sequence[:-1].astype(np.int64) << 32 | g.sequence[1:]
+        assert np.unique(code, return_counts=True)[1].max(initial=0) < T.LEAST_COUNT
