@@ -18,6 +18,7 @@ _MODULES = {
     "op8_decontamination": "decontamination",
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
+    "op11_periodic_runs": "periodic_runs",
 }
 
 
