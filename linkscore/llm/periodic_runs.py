@@ -337,7 +337,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pairs of equal words of a text, up to a quarter of its length apart, in stretches without a gap.
 ORACLE_SQL = r"""
-TH numbered AS (
+WITH numbered AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
     -- unsigned CRC-32: eight steps a byte, each one shift and one exclusive or
     xor(4294967295::UBIGINT, list_reduce(
