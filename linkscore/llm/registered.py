@@ -19,6 +19,8 @@ _MODULES = {
     "op9_quality_rules": "quality_rules",
     "op10_pii": "pii",
     "op11_periodic_runs": "periodic_runs",
+    "op12_html_extraction": "html_extraction",
+    "op13_spelling_variants": "spelling_variants",
 }
 
 
