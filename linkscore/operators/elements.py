@@ -7,6 +7,10 @@ mentions, text assembly) is DataFrame work on the element rows.
 
 The UDF sees only the markup; all other columns stay in the JVM. Arrow batches are bounded in bytes
 (``spark.sql.execution.arrow.maxBytesPerBatch``), so large pages do not pile up in a worker.
+
+Elements that are not closed hold all that follows, so the texts of a page's elements may add up to far more
+than the page. The rows for links therefore say where a text begins and ends in their page's text, which is
+there once: they take memory in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkscore.schemas import ELEMENT_FIELDS
+from linkscore.schemas import ELEMENT_FIELDS, LINK_ROW_FIELDS
 
 # Elements that can give a link its surrounding text, and the headings among them.
 BLOCK_TAGS = ("p", "h1", "h2", "h3", "li")
@@ -207,16 +211,19 @@ class _PageReader(HTMLParser):
 
 _ATTRIBUTES = ("href", "title", "aria-label", "rel", "name", "content")
 _TEXT_TAGS = frozenset(BLOCK_TAGS + ("a", "title"))
+# The row that holds the page's text.
+TEXT_ROW = "#text"
 
+_SCOPES = pa.list_(pa.struct([("container", pa.string()), ("pos", pa.int32())]))
+_SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
+_MAP = pa.map_(pa.string(), pa.string())
 _LISTS = {
-    "pos": pa.int32(),
-    "end_pos": pa.int32(),
-    "tag": pa.string(),
-    "attrs": pa.map_(pa.string(), pa.string()),
-    "text": pa.string(),
-    "text_stripped": pa.string(),
-    "scopes": pa.list_(pa.struct([("container", pa.string()), ("pos", pa.int32())])),
-    "headings": pa.list_(pa.string()),
+    "pos": pa.int32(), "end_pos": pa.int32(), "tag": pa.string(), "attrs": _MAP, "text": pa.string(),
+    "text_stripped": pa.string(), "scopes": _SCOPES,
+}
+_LINK_LISTS = {
+    "pos": pa.int32(), "tag": pa.string(), "attrs": _MAP, "span": _SPAN, "scopes": _SCOPES,
+    "headings": pa.list_(_SPAN), "page_text": pa.binary(), "page_stripped": pa.binary(),
 }
 
 
@@ -225,19 +232,21 @@ def _storable(text):
     return text.encode("utf-8", "replace").decode("utf-8") if not text.isascii() else text
 
 
-def _page_rows(html, containers, for_links):
-    """Rows of one page; with ``for_links`` only what some link of the page can make use of."""
-    if for_links and "<a" not in html and "<A" not in html:
-        return []
+def _read(html, containers):
     reader = _PageReader(containers)
     try:
-        found = reader.read(html)
+        return reader, reader.read(html)
     except AssertionError:
-        return []  # markup the parser gives up on: a page without elements
-    if for_links:
-        if not any(e.tag == "a" and e.needed for e in found):
-            return []
-        found = [e for e in found if e.needed]
+        return reader, []  # markup the parser gives up on: a page without elements
+
+
+def _attributes(element):
+    return [(k, _storable(element.attrs[k])) for k in _ATTRIBUTES if k in element.attrs]
+
+
+def _page_rows(html, containers):
+    """Rows of all elements of one page."""
+    reader, found = _read(html, containers)
     rows = []
     for e in found:
         has_text = e.tag in _TEXT_TAGS
@@ -246,31 +255,80 @@ def _page_rows(html, containers, for_links):
                 e.pos,
                 e.end,
                 e.tag,
-                [(k, _storable(e.attrs[k])) for k in _ATTRIBUTES if k in e.attrs],
+                _attributes(e),
                 _storable(reader.text(e)) if has_text else None,
-                _storable(reader.stripped(e)) if has_text and not for_links else None,
+                _storable(reader.stripped(e)) if has_text else None,
                 e.scopes,
-                [_storable(reader.stripped(h)) for h in e.headings],
             )
         )
     return rows
 
 
+def _joined(segments, elements, prepare):
+    """The segments that some of the elements have, as bytes, and where each segment begins in them."""
+    marks = [0] * (len(segments) + 1)
+    for e in elements:
+        marks[e.first] += 1
+        marks[e.last] -= 1
+    parts, begins, inside, size = [], [0], 0, 0
+    for segment, mark in zip(segments, marks):
+        inside += mark
+        if inside:
+            parts.append(prepare(segment).encode("utf-8", "replace"))
+            size += len(parts[-1])
+        begins.append(size)
+    return b"".join(parts), begins
+
+
+def _link_rows(html, containers):
+    """Rows of one page that some link of it can make use of, and first the one of its text."""
+    if "<a" not in html and "<A" not in html:
+        return []
+    reader, found = _read(html, containers)
+    found = [e for e in found if e.needed]
+    links = [e for e in found if e.tag == "a"]
+    if not links:
+        return []
+    headings = list({id(h): h for e in links for h in e.headings}.values())
+    text, begins = _joined(reader.segments, [e for e in found if e.tag in _TEXT_TAGS], str)
+    stripped, stripped_begins = _joined(reader.segments, headings, str.strip)
+    rows = [(-1, TEXT_ROW, [], None, [], [], text, stripped)]
+    for e in found:
+        span = (begins[e.first], begins[e.last]) if e.tag in _TEXT_TAGS else None
+        inside = [(stripped_begins[h.first], stripped_begins[h.last]) for h in e.headings]
+        rows.append((e.pos, e.tag, _attributes(e), span, e.scopes, inside, None, None))
+    return rows
+
+
+def _as_structs(rows, lists):
+    columns = list(zip(*rows)) or [()] * len(lists)
+    return pa.StructArray.from_arrays(
+        [_column(c, t) for c, t in zip(columns, lists.values())], names=list(lists)
+    )
+
+
+def _column(values, kind):
+    if kind == _SPAN:
+        values = [None if v is None else {"first": v[0], "last": v[1]} for v in values]
+    elif kind == pa.list_(_SPAN):
+        values = [[{"first": a, "last": b} for a, b in v] for v in values]
+    return pa.array(values, type=kind)
+
+
 def _elements_udf(containers, for_links):
     wanted = frozenset(c.lower() for c in containers)
+    rows_of, lists = (_link_rows, _LINK_LISTS) if for_links else (_page_rows, _LISTS)
 
     def read_pages(html: pa.Array) -> pa.Array:
         offsets, rows = [0], []
         for markup in html.to_pylist():
             if markup:
-                rows.extend(_page_rows(markup, wanted, for_links))
+                rows.extend(rows_of(markup, wanted))
             offsets.append(len(rows))
-        columns = list(zip(*rows)) or [()] * len(_LISTS)
-        fields = [pa.array(c, type=t) for c, t in zip(columns, _LISTS.values())]
-        struct = pa.StructArray.from_arrays(fields, names=list(_LISTS))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _as_structs(rows, lists))
 
-    return F.arrow_udf(read_pages, f"array<struct<{_as_struct_fields(ELEMENT_FIELDS)}>>")
+    fields = LINK_ROW_FIELDS if for_links else ELEMENT_FIELDS
+    return F.arrow_udf(read_pages, f"array<struct<{_as_struct_fields(fields)}>>")
 
 
 def _as_struct_fields(ddl):
@@ -294,8 +352,9 @@ def elements(
 
     ``pages`` has ``page_id``, ``url``, ``html``; the markup does not leave this step. Links carry
     the containers they are in as ``scopes``; all containers are found in one pass. With
-    ``for_links`` only rows that extraction uses are made: links, page title and description, and
-    of the blocks just the neighbours of a link, which keeps article text out of the shuffle.
+    ``for_links`` only rows that extraction uses are made (``LINK_ROW_FIELDS``): links, page title and
+    description, and of the blocks just the neighbours of a link, which keeps article text out of the
+    shuffle; a row ``#text`` has the part of the page's text that they point into.
     """
     listed = parsed_pages(pages, containers, for_links)
     # inline() would make the optimizer infer "elements is not empty" and push that below the

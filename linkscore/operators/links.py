@@ -4,6 +4,10 @@ One shuffle, of slim element rows by page; every window below partitions by the
 it. Markup and article text are gone by then: of the blocks only the neighbours of a link are left.
 A page is one row of the input, so a window never holds more than one document, however many pages
 a site or a URL has.
+
+The windows sort and number rows without texts. The last one hands the page's text to each link as it passes,
+and the link's own texts are cut out of it. So what is held at a time is in proportion to the page, also
+where thousands of links lie in one heading that has no end.
 """
 
 from __future__ import annotations
@@ -70,35 +74,29 @@ def _first_element(tag: str) -> Column:
 
 
 def _slim_rows(rows: DataFrame) -> DataFrame:
-    """What goes into the shuffle: every text once, attributes as columns, nulls elsewhere.
-
-    The windows then read plain columns; an expression inside a window would be shuffled as a
-    second copy of the text it reads.
-    """
-    attrs, text = F.col("attrs"), F.col("text")
+    """What goes into the shuffle: attributes as columns, texts as places, nulls elsewhere."""
+    attrs = F.col("attrs")
     is_link = F.col("tag") == "a"
+    # The first description counts even when it has no content: no null for missing content.
+    description = F.struct(page_description(F.coalesce(attrs["content"], F.lit(""))).alias("text"))
     return rows.select(
-        "page_id", "pos", "scopes", "headings",
+        "page_id", "pos", "scopes", "headings", "page_text", "page_stripped",
         F.when(is_link, F.col("url")).alias("url"),
         F.when(is_link, attrs["href"]).alias("href"),
-        F.when(is_link, tx.clean_text(text)).alias("text"),
+        F.when(is_link, F.col("span")).alias("text_span"),
         F.when(is_link, tx.clean_text(attrs["title"])).alias("title"),
         F.when(is_link, tx.clean_text(attrs["aria-label"])).alias("aria_label"),
         F.when(is_link, normalize_rel(attrs["rel"])).alias("rel"),
-        F.when(F.col("tag").isin(*BLOCK_TAGS), text).alias("block_raw"),
-        F.when(F.col("tag") == "title", text).alias("title_raw"),
-        # The first description counts even when it has no content: no null for missing content.
-        F.when(F.col("tag") == "meta", F.coalesce(attrs["content"], F.lit(""))).alias(
-            "description_raw"
-        ),
+        F.when(F.col("tag").isin(*BLOCK_TAGS), F.col("span")).alias("block_span"),
+        F.when(F.col("tag") == "title", F.col("span")).alias("title_span"),
+        F.when(F.col("tag") == "meta", description).alias("description"),
     )
 
 
 def _links_in_context(rows: DataFrame) -> DataFrame:
-    """Links with the text of their neighbour blocks and the page metadata.
+    """Links with the places of their neighbour blocks and of the page title, and the rows of page texts.
 
-    The nearest block is chosen first and cleaned second: boilerplate gives null, not the block
-    behind it.
+    The nearest block is chosen here and cleaned later: boilerplate gives null, not the block behind it.
     """
     page = Window.partitionBy("page_id")
     before = page.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,32 +104,30 @@ def _links_in_context(rows: DataFrame) -> DataFrame:
     # "The next block" is the last one seen walking backwards: a frame that grows is linear,
     # while Spark recomputes a frame that shrinks (1 .. unboundedFollowing) for every row.
     after = page.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-
+    is_link = F.col("href").isNotNull() & ux.is_splittable(F.col("href"))
     return (
         rows.withColumns({
-            "previous_raw": F.last("block_raw", ignorenulls=True).over(before),
-            "page_title": F.first("title_raw", ignorenulls=True).over(whole),
-            "page_description": F.first("description_raw", ignorenulls=True).over(whole),
-        })
-        .withColumn("next_raw", F.last("block_raw", ignorenulls=True).over(after))
-        .filter(F.col("href").isNotNull())
-        .withColumns({
-            "previous_text": tx.clean_text(F.col("previous_raw")),
-            "next_text": tx.clean_text(F.col("next_raw")),
-            "heading_hierarchy": F.when(F.size("headings") > 0, F.col("headings")),
-            "page_title": page_title(F.col("page_title")),
-            "page_description": page_description(F.col("page_description")),
+            "previous_span": F.last("block_span", ignorenulls=True).over(before),
+            "title_span": F.first("title_span", ignorenulls=True).over(whole),
+            "description": F.first("description", ignorenulls=True).over(whole),
         })
+        .withColumn("next_span", F.last("block_span", ignorenulls=True).over(after))
+        .filter(is_link | F.col("page_text").isNotNull())
     )
 
 
-def sequence(page_id: Column, link_pos: Column) -> Column:
-    """Arrival order of a link as one number: by page, then by position on the page.
+def _cut(text: Column, span: Column) -> Column:
+    """The text at a place of a page's bytes."""
+    return F.substring(text, span["first"] + 1, span["last"] - span["first"]).cast("string")
+
+
+def sequence(page_id: Column, page_pos: Column) -> Column:
+    """Arrival order of a link as one number: by page, then by its number on the page over all containers.
 
     A decimal holds every 64-bit page id next to every 32-bit position, and unlike a struct it can
     be the buffer of a hash aggregate.
     """
-    return (page_id.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + link_pos).cast(
+    return (page_id.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + page_pos).cast(
         "decimal(38,0)"
     )
 
@@ -159,13 +155,19 @@ def processed_text() -> Column:
 
 def links_from_elements(rows: DataFrame) -> DataFrame:
     """Link records from the element rows of :func:`elements` with ``for_links``."""
-    in_context = _links_in_context(_slim_rows(rows)).filter(ux.is_splittable(F.col("href")))
-    # A link is listed once for every container it is in.
-    scoped = in_context.withColumn("scope", F.explode("scopes")).drop("scopes")
+    in_context = _links_in_context(_slim_rows(rows))
+    # A link is listed once for every container it is in; the row of the page's text is in none.
+    scoped = in_context.withColumn("scope", F.explode_outer("scopes")).drop("scopes")
+    scoped = scoped.filter(F.col("scope").isNotNull() | F.col("page_text").isNotNull())
     listing = Window.partitionBy(*LISTING)
+    on_page = Window.partitionBy("page_id").orderBy(
+        F.col("href").isNull(), "scope_pos", "pos", "container"
+    )
     numbered = scoped.withColumns(
         {"container": F.col("scope.container"), "scope_pos": F.col("scope.pos")}
-    ).withColumn("link_pos", F.row_number().over(listing.orderBy("scope_pos", "pos")))
+    ).withColumn("page_pos", F.row_number().over(on_page)).withColumn(
+        "link_pos", F.row_number().over(listing.orderBy("scope_pos", "pos"))
+    )
     # As columns of their own, so that the expressions reading them do not split the URL again.
     split = numbered.withColumns(
         {"domain": ux.domain_component(F.col("href")), "path": ux.url_path(F.col("href"))}
@@ -173,10 +175,34 @@ def links_from_elements(rows: DataFrame) -> DataFrame:
     mentions = split.withColumn(
         "first_pos", F.min("link_pos").over(Window.partitionBy(*LISTING, "domain"))
     )
-    return mentions.select(
+    # The condition is always true; by it this window depends on the ones before and stays behind them.
+    page = Window.partitionBy("page_id")
+    last = F.col("first_pos") > 0
+    with_page = mentions.withColumns({
+        name: F.first(F.when(last, F.col(name)), ignorenulls=True).over(page)
+        for name in ("page_text", "page_stripped")
+    }).filter(F.col("href").isNotNull())
+    text, stripped = F.col("page_text"), F.col("page_stripped")
+    raw = with_page.withColumns({
+        "text": _cut(text, F.col("text_span")),
+        "page_title": _cut(text, F.col("title_span")),
+        "previous_text": _cut(text, F.col("previous_span")),
+        "next_text": _cut(text, F.col("next_span")),
+        "heading_hierarchy": F.when(
+            F.size("headings") > 0, F.transform("headings", lambda h: _cut(stripped, h))
+        ),
+    })
+    cleaned = raw.withColumns({
+        "text": tx.clean_text(F.col("text")),
+        "page_title": page_title(F.col("page_title")),
+        "page_description": F.col("description.text"),
+        "previous_text": tx.clean_text(F.col("previous_text")),
+        "next_text": tx.clean_text(F.col("next_text")),
+    })
+    return cleaned.select(
         "page_id",
         "link_pos",
-        sequence(F.col("page_id"), F.col("link_pos")).alias("seq"),
+        sequence(F.col("page_id"), F.col("page_pos")).alias("seq"),
         "href",
         "text",
         "title",

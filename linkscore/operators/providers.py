@@ -7,6 +7,7 @@ A provider adds one column, the similarity of two text columns, null where one o
 * :class:`VectorSimilarity` looks both texts up in an embedding table by key and takes the cosine
   of the vectors. With vectors of a sentence model in the table, so are the scores.
 * :func:`refresh_embeddings` fills that table: it encodes only distinct texts that are not in it.
+  :mod:`linkscore.operators.vector_store` keeps it from run to run.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from linkscore.functions import similarity as sim
 from linkscore.functions import text as tx
-from linkscore.operators.skew import HOT_ROWS, lookup_join
+from linkscore.operators.skew import LEAST_PIECE, lookup_join
 from linkscore.storage import materialized
 
 Encoder = Callable[[list[str]], "list[list[float]]"]
@@ -80,7 +81,7 @@ class VectorSimilarity:
     for the distinct pairs of texts only, by key, so neither texts nor repeats are joined.
     """
 
-    def __init__(self, embeddings: DataFrame, hot_rows: int = HOT_ROWS):
+    def __init__(self, embeddings: DataFrame, hot_rows: int = LEAST_PIECE):
         self.embeddings = embeddings.select("text_key", "vec")
         self.hot_rows = hot_rows
 
@@ -143,8 +144,9 @@ def missing_texts(texts: DataFrame, embeddings: DataFrame) -> DataFrame:
     return texts.join(embeddings.select("text_key"), "text_key", "left_anti")
 
 
-def encode_texts(texts: DataFrame, load_encoder: Callable[[], Encoder]) -> DataFrame:
-    """``(text_key, vec)``, the encoder being loaded once per Python worker, not per batch."""
+def encode_texts(texts: DataFrame, load_encoder: Callable[[], Encoder], *kept: str) -> DataFrame:
+    """``(text_key, vec)`` and the columns ``kept``, the encoder being loaded once per Python worker, not
+    per batch."""
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -152,7 +154,7 @@ def encode_texts(texts: DataFrame, load_encoder: Callable[[], Encoder]) -> DataF
         for batch in batches:
             yield pd.Series(list(encoder(batch.tolist())))
 
-    return texts.select("text_key", encode("text").alias("vec"))
+    return texts.select("text_key", encode("text").alias("vec"), *kept)
 
 
 def refresh_embeddings(
@@ -163,6 +165,12 @@ def refresh_embeddings(
     return embeddings.select("text_key", "vec").unionByName(encoded)
 
 
+def letter_count_encoder(letters: str) -> Encoder:
+    """Stands in for a sentence model where there is none: a text's vector is the number of each letter in
+    it, and a half. The numbers can be checked by other means."""
+    return lambda texts: [[text.count(letter) + 0.5 for letter in letters] for text in texts]
+
+
 def sentence_model_encoder(model: str = SENTENCE_MODEL) -> Encoder:
     """Encoder of the sentence model; the library is optional and only needed on the workers."""
     try:

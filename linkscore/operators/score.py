@@ -44,6 +44,19 @@ def with_text_terms(table: DataFrame, text: str = "processed_text") -> DataFrame
     return with_tokens.withColumn("_norm2", sim.term_norm2(F.col("_tokens")))
 
 
+def with_window(table: DataFrame, text: str = "processed_text", keyword: str = "keyword") -> DataFrame:
+    """Adds ``_keyword`` (lowercased), ``exact``, and the window around the keyword's last occurrence as
+    ``_window`` and ``context_text``, null when no token equals the keyword."""
+    if "_tokens" not in table.columns:
+        table = with_text_terms(table, text)
+    located = table.withColumn("_keyword", F.lower(F.col(keyword))).withColumns({
+        "exact": sim.exact_match(F.col(text), F.col(keyword)),
+        "_position": tx.last_position(F.col("_tokens"), F.col("_keyword")),
+    })
+    windowed = located.withColumn("_window", tx.window_tokens(F.col("_tokens"), F.col("_position")))
+    return windowed.withColumn("context_text", F.array_join("_window", " ")).drop("_position")
+
+
 def score_text(
     table: DataFrame,
     text: str = "processed_text",
@@ -56,22 +69,13 @@ def score_text(
     counts only when some token equals the keyword, and then for its last occurrence.
     """
     similarity = similarity or LexicalSimilarity()
-    if "_tokens" not in table.columns:
-        table = with_text_terms(table, text)
-    located = table.withColumn("_keyword", F.lower(F.col(keyword))).withColumns({
-        "exact": sim.exact_match(F.col(text), F.col(keyword)),
-        "_position": tx.last_position(F.col("_tokens"), F.col("_keyword")),
-    })
-    windowed = located.withColumn("_window", tx.window_tokens(F.col("_tokens"), F.col("_position")))
-    named = windowed.withColumn("context_text", F.array_join("_window", " "))
+    named = with_window(table, text, keyword)
     with_text = similarity.attach(named, text, "_keyword", "semantic_sim", "_tokens", "_norm2")
     with_both = similarity.attach(with_text, "context_text", "_keyword", "context_sim", "_window")
     scored = with_both.withColumn("context_score", context_score()).withColumn(
         "score", combined_score()
     )
-    return computed_once(
-        scored.drop(*TEXT_TERMS, "_keyword", "_position", "_window"), *_SCORE_COLUMNS
-    )
+    return computed_once(scored.drop(*TEXT_TERMS, "_keyword", "_window"), *_SCORE_COLUMNS)
 
 
 def context_score() -> Column:

@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from linkscore.storage import materialized
 
-# At most this many keys are treated as hot: their rows on the unique side of a join are broadcast.
-MAX_HOT_KEYS = 1000
-# A key with fewer rows than this fits a task and is not treated as hot.
+# A group with fewer rows than this fits a task and is not treated as large.
 HOT_ROWS = 1_000_000
+# A key's rows are dealt out in pieces: so many make up the work of a task, or a piece has so many rows.
+PIECES_PER_TASK = 32
+LEAST_PIECE = 50_000
 # At most this many group keys are broadcast; beyond it all rows are numbered slice by slice.
 MAX_LARGE_GROUPS = 100_000
 # No more text than this is broadcast.
@@ -38,42 +39,61 @@ def matching_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     return left.join(renamed, same, how).drop(*names.values())
 
 
+def pieces(table: DataFrame, on: Sequence[str], least: int = LEAST_PIECE) -> DataFrame:
+    """In how many pieces to deal out the rows of the frequent keys of ``table``: (hash of the key, number).
+
+    A piece has ``least`` rows, or more in a large table: then all pieces together are
+    ``PIECES_PER_TASK`` for each shuffle partition, so there are never more frequent keys than that,
+    however the keys are distributed, and the result can be broadcast. Keys whose hashes collide are
+    dealt out alike, which changes no result. ``table`` is read twice: hand in a few columns of a
+    written table or a scan.
+    """
+    spark = table.sparkSession
+    most = PIECES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(least, -(-table.count() // most))
+    counts = table.groupBy(F.xxhash64(*on).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    number = F.ceil(F.col("_rows") / size).cast("int")
+    return counts.filter(F.col("_rows") > size).select("_key", number.alias("_pieces"))
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column, how: str, salts: int = 16
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    spread: Column,
+    how: str,
+    salts: int | DataFrame = 16,
 ) -> DataFrame:
     """Join (null equals null) a large table to a smaller one whose keys may be hot on the left.
 
     The rows of one key on the left go to ``salts`` tasks, by the value of ``spread``; the right
-    side is copied once per salt. Nothing is broadcast, so neither side needs a size bound.
+    side is copied once per salt. With :func:`pieces` of the left as ``salts`` each key has as many as
+    its rows need, one for most. Neither side is broadcast, so neither needs a size bound.
     """
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    every_salt = F.explode(F.array(*(F.lit(i) for i in range(salts))))
+    if isinstance(salts, int):
+        of_left = of_right = F.lit(salts)
+    else:
+        dealt = F.broadcast(salts)
+        left = left.withColumn("_key", F.xxhash64(*on)).join(dealt, "_key", "left").drop("_key")
+        right = right.withColumn("_key", F.xxhash64(*on)).join(dealt, "_key", "left").drop("_key")
+        of_left = of_right = F.coalesce("_pieces", F.lit(1))
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), of_left).cast("int"))
+    every_salt = F.explode(F.sequence(F.lit(0), of_right.cast("int") - 1))
     salted_right = right.withColumn("_salt", every_salt)
-    return matching_join(salted_left, salted_right, [*on, "_salt"], how).drop("_salt")
-
+    return matching_join(
+        salted_left.drop("_pieces"), salted_right.drop("_pieces"), [*on, "_salt"], how
+    ).drop("_salt")
 
-def hot_keys(table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with the most rows, if those are many; never more than ``MAX_HOT_KEYS`` keys."""
-    counts = table.filter(F.col(key).isNotNull()).groupBy(key).count()
-    # The order is total: all uses of the keys must see the same ones.
-    most = counts.filter(F.col("count") >= hot_rows).orderBy(F.desc("count"), key).limit(MAX_HOT_KEYS)
-    return most.select(key)
 
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, least: int = LEAST_PIECE) -> DataFrame:
     """Left join to a large table that is unique in ``key``, also for very frequent keys.
 
-    Hot keys are at most ``MAX_HOT_KEYS``, so their rows of the right side can be broadcast and the
-    many left rows stay where they are; all other keys take the ordinary shuffled join. ``left`` is
-    read three times (key counts, hot, rest): hand in a table, not a long computation.
+    Rows of a frequent key are dealt out over tasks, and the one row of the right side is copied to
+    them. ``left`` is read three times, its order must not change in between: hand in a written table.
     """
-    hot = F.broadcast(hot_keys(left, key, hot_rows))
-    right_hot = F.broadcast(right.join(hot, key, "left_semi"))
-    frequent = left.join(hot, key, "left_semi").join(right_hot, key, "left")
-    rest = left.join(hot, key, "left_anti").join(right, key, "left")
-    return frequent.unionByName(rest)
+    known = right.filter(F.col(key).isNotNull())
+    spread = F.monotonically_increasing_id()
+    return salted_join(left, known, [key], spread, "left", pieces(left.select(key), [key], least))
 
 
 def row_number_in_group(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from linkscore.functions import text as tx
 from linkscore.functions import urls as ux
-from linkscore.plans.queries import KEYWORD, KEYWORDS, TEXT_KEYWORD
+from linkscore.plans.queries import KEYWORD, KEYWORDS, LETTERS, TEXT_KEYWORD
 
 _SPACES = "[" + tx.WHITESPACE + "]+"
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -97,7 +97,7 @@ parts AS (
   FROM mentions),
 links AS (
   SELECT page_id, url, link_pos, href, text, title, previous_text, next_text,
-         page_id * 2147483648 + link_pos AS seq,
+         page_id::HUGEINT * 2147483648 + link_pos AS seq,
          CASE WHEN contains(href, 'http') THEN href ELSE url || href END AS href_url,
          array_to_string(
            list_filter(all_parts, lambda p, i: list_position(all_parts, p) = i), ' '
@@ -150,6 +150,34 @@ scores AS (
          AS score
   FROM similarities)"""
 
+
+def _letters(x: str) -> str:
+    """Counts of some letters in a text, and a half."""
+    counts = (f"length({x}) - length(replace({x}, '{c}', '')) + 0.5::DOUBLE" for c in LETTERS)
+    return f"[{', '.join(counts)}]"
+
+
+# As SCORES, with similarities of letter counts.
+VECTOR_SCORES = f"""
+texts AS (SELECT DISTINCT txt, keyword FROM items),
+tokenized AS (SELECT txt, keyword, {_tokens("txt")} AS tokens FROM texts),
+positions AS (
+  SELECT *, len(tokens) - list_position(list_reverse(tokens), keyword) + 1 AS hit
+  FROM tokenized WHERE list_contains(tokens, keyword)),
+windows AS (
+  SELECT txt, keyword, array_to_string(tokens[greatest(hit - 3, 1):hit + 3], ' ') AS context_text
+  FROM positions),
+similarities AS (
+  SELECT txt, keyword, context_text,
+         CASE WHEN contains(lower(txt), keyword) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS exact,
+         list_cosine_similarity({_letters("txt")}, {_letters("keyword")}) AS sim,
+         list_cosine_similarity({_letters("coalesce(context_text, '')")}, {_letters("keyword")}) AS context_sim
+  FROM texts LEFT JOIN windows USING (txt, keyword)),
+scores AS (
+  SELECT *, 1 / (1 + exp(-10 * (0.5 * exact + 0.3 * {_squash("sim")} + 0.2 * CASE
+         WHEN exact > 0 AND context_text IS NOT NULL THEN {_squash("context_sim")} ELSE 0.0 END - 0.6))) AS score
+  FROM similarities)"""
+
 SCORED_LINKS = f"""{ITEMS},
 {SCORES},
 scored AS (SELECT items.*, score FROM items JOIN scores USING (txt, keyword))"""
@@ -193,7 +221,7 @@ ranked AS (
   FROM best)"""
 
 _RANKED_COLUMNS = "source_url, keyword, href_url, round(score, 6) AS score, rank"
-_ANALYSIS_COLUMNS = "seq, keyword, url AS source_url, href_url, round(score, 6) AS score"
+_ANALYSIS_COLUMNS = "seq::VARCHAR AS seq, keyword, url AS source_url, href_url, round(score, 6) AS score"
 _FIRST_URL = "(SELECT min(url) FROM pages)"
 
 _HOST_AS_WRITTEN = "regexp_extract(url, '^https?://([^/]+)', 1)"
@@ -214,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "q_robots": f"WITH {ROBOTS} SELECT page_id, url, allowed FROM decided",
         "q_queue_roundtrip": f"""
             WITH {ITEMS}
-            SELECT seq, raw_keyword AS keyword, href, text, previous_text, next_text,
+            SELECT seq::VARCHAR AS seq, raw_keyword AS keyword, href, text, previous_text, next_text,
                    title AS page_title, url AS source_url, processed_text
             FROM items""",
         "q_stream_score": f"WITH {SCORED_LINKS} SELECT {_ANALYSIS_COLUMNS} FROM scored",
@@ -355,9 +383,54 @@ def oracle_sql() -> dict[str, str]:
         "q_scored_links": f"WITH {SCORED_LINKS} SELECT {_ANALYSIS_COLUMNS} FROM scored",
         "q_unscored": f"""
             WITH {ITEMS}
-            SELECT seq, raw_keyword AS keyword, href, text FROM items
+            SELECT seq::VARCHAR AS seq, raw_keyword AS keyword, href, text FROM items
             WHERE NOT starts_with(url, 'https') AND NOT contains(href, 'http')""",
         "q_catalog": f"WITH {CATALOG} SELECT * FROM catalog",
+        "q_compacted_catalog": f"""
+            WITH {CATALOG}
+            SELECT id, keyword, source_url, href_url,
+                   CASE WHEN keyword = '{KEYWORDS[1].lower()}' THEN 0.5::DOUBLE ELSE relevance_score END
+                     AS relevance_score, raw_text
+            FROM catalog""",
+        "q_clear_queue": f"""
+            WITH {ITEMS}
+            SELECT CASE WHEN link_pos % 3 = 2 THEN 'left' ELSE 'archived' END AS place,
+                   raw_keyword AS keyword, count(*) AS n_items
+            FROM items GROUP BY ALL
+            UNION ALL SELECT 'processed', raw_keyword, count(*) FROM items GROUP BY ALL""",
+        "q_containers": f"""
+            WITH {LINKS},
+            counts AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id)
+            SELECT page_id, container, link_pos,
+                   (seq + CASE WHEN container = 'div' THEN n ELSE 0 END)::VARCHAR AS seq, href, processed_text
+            FROM links JOIN counts USING (page_id), (VALUES ('body'), ('div')) AS c(container)""",
+        "q_link_attributes": "WITH "
+        + LINKS.replace(
+            "[text, title, new_domain]",
+            f"""[text, 'to ' || {_HOST_AS_WRITTEN} || ' & on', 'Label of ' || {_HOST_AS_WRITTEN}, title,
+             'About ' || {_HOST_AS_WRITTEN}, new_domain]""",
+        )
+        + f""" SELECT page_id, link_pos, 'to ' || {_HOST_AS_WRITTEN} || ' & on' AS title,
+                   'Label of ' || {_HOST_AS_WRITTEN} AS aria_label,
+                   'About ' || {_HOST_AS_WRITTEN} AS description, processed_text
+            FROM links""",
+        "q_vector_scores": f"""
+            WITH {ITEMS}, {VECTOR_SCORES},
+            scored AS (SELECT items.*, score FROM items JOIN scores USING (txt, keyword))
+            SELECT {_ANALYSIS_COLUMNS} FROM scored""",
+        "q_vector_store": f"""
+            WITH {ITEMS}, {VECTOR_SCORES},
+            needed AS (
+              SELECT DISTINCT run, x AS text
+              FROM (VALUES (1, '{KEYWORDS[0].lower()}'), (2, '{KEYWORDS[0].lower()}'), (2, '{KEYWORDS[1].lower()}'),
+                           (3, '{KEYWORDS[0].lower()}'), (3, '{KEYWORDS[1].lower()}')) AS r(run, keyword)
+              JOIN (SELECT keyword, txt AS x FROM scores UNION SELECT keyword, keyword FROM scores
+                    UNION SELECT keyword, context_text FROM scores
+                    WHERE exact > 0 AND context_text IS NOT NULL) USING (keyword)),
+            firsts AS (SELECT text, min(run) AS run FROM needed GROUP BY text)
+            SELECT n.run, count(*) AS n_needed, (SELECT count(*) FROM firsts f WHERE f.run = n.run) AS n_encoded,
+                   (SELECT count(*) FROM firsts f WHERE f.run <= n.run) AS n_stored
+            FROM needed n GROUP BY n.run""",
         "q_upsert": f"""
             WITH {LINKS},
             last_links AS (
@@ -386,7 +459,9 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY keyword, source_url LIMIT 1""",
         "q_best_links": f"""
             WITH {SCORED_LINKS}, {_BEST}
-            SELECT source_url, keyword, href_url, round(score, 6) AS score, first_seq FROM best""",
+            SELECT source_url, keyword, href_url, round(score, 6) AS score,
+                   first_seq::VARCHAR AS first_seq
+            FROM best""",
         "q_ranked_links": f"WITH {SCORED_LINKS}, {_BEST} SELECT {_RANKED_COLUMNS} FROM ranked",
         "q_top_links": f"""
             WITH {SCORED_LINKS}, {_BEST} SELECT {_RANKED_COLUMNS} FROM ranked WHERE rank <= 3""",

@@ -7,7 +7,8 @@ need other markup get it from the tables by expression: rel values and descripti
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from linkscore.functions import similarity as sim
 from linkscore.functions import text as tx
 from linkscore.functions import urls as ux
-from linkscore.operators import catalog, providers, rank
+from linkscore.operators import catalog, providers, rank, vector_store
 from linkscore.operators.elements import elements
 from linkscore.operators.links import (
     extract_links,
@@ -30,7 +31,7 @@ from linkscore.plans import runs
 from linkscore.schemas import LINK_ITEM, SCORED_ITEM, struct
 from linkscore.sources import robots
 from linkscore.sources.pages import page_errors, read_pages, spread_if_narrow
-from linkscore.storage import new_folder
+from linkscore.storage import materialized, new_folder
 from linkscore.streaming import queue
 
 KEYWORD = "the"
@@ -68,8 +69,9 @@ def _rounded(column: str | Column, name: str) -> Column:
     return F.round(column, 6).alias(name)
 
 
-def _seq() -> Column:
-    return F.col("seq").cast("bigint").alias("seq")
+def _seq(name: str = "seq") -> Column:
+    """Arrival order as text: it has more digits than the integers both engines share."""
+    return F.col(name).cast("string").alias(name)
 
 
 # -- sources, queues ---------------------------------------------------------------------------
@@ -149,6 +151,29 @@ def q_stream_catalog(spark, sf_dir):
     return _catalog_columns(catalog.current(catalog.stored(spark, folder)))
 
 
+def q_clear_queue(spark, sf_dir):
+    """Items left in a queue and items archived from it, after all were processed in three turns.
+
+    The files of a turn go to the archive when the next one is done, so those of the last stay.
+    """
+    folder = new_folder(spark, "cleared")
+    source, archive = f"{folder}/queue", f"{folder}/archive"
+    items = _items(spark, sf_dir)
+    for turn in range(3):
+        queue.publish(items.filter(F.pmod("link_pos", F.lit(3)) == turn).coalesce(1), source)
+        stream = queue.read_queue(spark, source, archive=archive)
+        queue.run_stage(stream, score_links, "relevance_analysis", f"{folder}/scored", f"{folder}/offsets")
+    left = spark.read.schema(struct(LINK_ITEM)).json(source)
+    archived = spark.read.schema(struct(LINK_ITEM)).option("recursiveFileLookup", "true").json(archive)
+    done = queue.stage_items(spark, f"{folder}/scored", SCORED_ITEM)
+    named = [
+        t.select(F.lit(n).alias("place"), "keyword")
+        for n, t in (("left", left), ("archived", archived), ("processed", done))
+    ]
+    every = named[0].unionByName(named[1]).unionByName(named[2])
+    return every.groupBy("place", "keyword").agg(F.count(F.lit(1)).alias("n_items"))
+
+
 def q_first_link(spark, sf_dir):
     return first_item(_items(spark, sf_dir)).select(
         "source_url", "keyword", "href", "text", "link_pos", "processed_text"
@@ -173,6 +198,28 @@ def q_links(spark, sf_dir):
     )
 
 
+def q_containers(spark, sf_dir):
+    """Links of two containers, one inside the other: listed for both, in one order."""
+    html = F.replace("html", F.lit("<nav>"), F.lit("<div><nav>"))
+    html = F.replace(html, F.lit("</nav>"), F.lit("</nav></div>"))
+    pages = _pages(spark, sf_dir).withColumn("html", html)
+    return extract_links(pages, ("body", "div")).select(
+        "page_id", "container", "link_pos", _seq(), "href", "processed_text"
+    )
+
+
+def q_link_attributes(spark, sf_dir):
+    """Links with a title and a label, on pages with a description."""
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    link = F.concat(F.lit('<a title=" to '), host, F.lit(' &amp; on" aria-label="Label of '), host, F.lit('" href="'))
+    head = F.concat(F.lit('</title><meta name="description" content="About '), host, F.lit('">'))
+    html = F.replace(F.replace("html", F.lit('<a href="'), link), F.lit("</title>"), head)
+    return extract_links(_pages(spark, sf_dir).withColumn("html", html)).select(
+        "page_id", "link_pos", "title", "aria_label",
+        F.col("metadata.description").alias("description"), "processed_text",
+    )
+
+
 def _escaped(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
@@ -372,6 +419,36 @@ def q_scored_links(spark, sf_dir):
     return _scored(spark, sf_dir).select(_seq(), *_analysis_columns())
 
 
+LETTERS = "aeinorst"
+
+
+def _load_encoder() -> Callable[[], providers.Encoder]:
+    return partial(providers.letter_count_encoder, LETTERS)
+
+
+def q_vector_scores(spark, sf_dir):
+    """A run whose similarities are those of an encoder, with a store that has some of the texts."""
+    pages = _pages(spark, sf_dir)
+    store = vector_store.VectorStore(spark, new_folder(spark, "vectors"))
+    some = pages.select(F.lit(KEYWORDS[0]).alias("text")).limit(1).unionByName(pages.select(F.col("url").alias("text")))
+    store.add(providers.distinct_texts(some, "text"), _load_encoder(), "earlier")
+    targets = pages.select("url", F.explode(F.array(*map(F.lit, KEYWORDS))).alias("keyword"))
+    outcome = runs.run(pages, targets, vectors=store, load_encoder=_load_encoder())
+    return outcome.items.select(_seq(), *_analysis_columns())
+
+
+def q_vector_store(spark, sf_dir):
+    """Texts that three runs need and encode: the second has one more keyword, the third nothing new."""
+    store = vector_store.VectorStore(spark, new_folder(spark, "vectors"))
+    links, rows = _links(spark, sf_dir), []
+    for run, keywords in enumerate((KEYWORDS[:1], KEYWORDS, KEYWORDS), 1):
+        items = with_keywords(links, keywords)
+        texts = vector_store.needed_texts(items)
+        n_encoded = store.add(texts, _load_encoder(), f"run-{run}")
+        rows.append((run, texts.count(), n_encoded, store.vectors().count()))
+    return spark.createDataFrame(rows, "run int, n_needed long, n_encoded long, n_stored long")
+
+
 def q_unscored(spark, sf_dir):
     no_source = F.when(F.col("source_url").startswith("https"), F.col("source_url"))
     items = _items(spark, sf_dir).withColumn("source_url", no_source)
@@ -381,12 +458,21 @@ def q_unscored(spark, sf_dir):
 # -- catalog -----------------------------------------------------------------------------------
 
 
-def _catalog(
-    spark: SparkSession, sf_dir: str, columns: Sequence[str] = catalog.CATALOG_COLUMNS
-) -> DataFrame:
-    rows = catalog.catalog_rows(_scored(spark, sf_dir))
-    needed = rows.select(*dict.fromkeys([*catalog.KEY, *columns, "seq"]))
-    return catalog.last_per_key(needed, "seq").select(*columns)
+def _stored_catalog(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a catalog with all scored links."""
+    folder = new_folder(spark, "catalog")
+    catalog.append_batch(catalog.catalog_rows(_scored(spark, sf_dir)), folder, 0)
+    return folder
+
+
+def _catalog_of_batches(spark: SparkSession, sf_dir: str) -> str:
+    """As :func:`_stored_catalog`, in two batches: the first has older rows of one keyword."""
+    folder = new_folder(spark, "catalog")
+    rows = materialized(catalog.catalog_rows(_scored(spark, sf_dir)), "rows")
+    old = rows.filter(F.col("keyword") == KEYWORD).withColumn("relevance_score", F.lit(-1.0))
+    catalog.append_batch(old, folder, 0)
+    catalog.append_batch(rows, folder, 1)
+    return folder
 
 
 def _catalog_columns(table: DataFrame) -> DataFrame:
@@ -398,11 +484,22 @@ def _catalog_columns(table: DataFrame) -> DataFrame:
 
 
 def q_catalog(spark, sf_dir):
-    folder = new_folder(spark, "catalog")
-    catalog.append_batch(catalog.catalog_rows(_scored(spark, sf_dir)), folder, 0)
+    folder = _stored_catalog(spark, sf_dir)
     return _catalog_columns(catalog.current(catalog.stored(spark, folder)))
 
 
+def q_compacted_catalog(spark, sf_dir):
+    """The catalog read by source, after half of its buckets were folded and a batch came in later."""
+    folder = _catalog_of_batches(spark, sf_dir)
+    for layout in catalog.LAYOUTS:
+        catalog.fold(spark, folder, layout, range(0, catalog.BUCKETS, 2))
+    again = catalog.stored(spark, folder).filter(F.col("keyword") == KEYWORDS[1].lower())
+    again = catalog.last_per_key(again, *catalog.STORED_ORDER).drop("bucket", "commit", "origin", "version")
+    catalog.append_batch(again.withColumn("relevance_score", F.lit(0.5)), folder, 0, "later")
+    found = catalog.current(catalog.stored(spark, folder, "source"))
+    return _catalog_columns(found)
+
+
 def q_upsert(spark, sf_dir):
     links = _links(spark, sf_dir).select(
         F.lit(KEYWORD).alias("keyword"),
@@ -419,36 +516,33 @@ def q_upsert(spark, sf_dir):
 
 
 def q_by_keyword(spark, sf_dir):
-    return _catalog_columns(catalog.query(_catalog(spark, sf_dir), keyword=KEYWORD))
+    return _catalog_columns(catalog.find(spark, _stored_catalog(spark, sf_dir), keyword=KEYWORD))
 
 
-def _first_url(spark: SparkSession, sf_dir: str) -> Column:
-    """The alphabetically first page URL, as a scalar subquery."""
-    urls = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return urls.agg(F.min("url")).scalar()
+def _first_url(spark: SparkSession, sf_dir: str) -> str:
+    """The alphabetically first page URL."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").agg(F.min("url")).first()[0]
 
 
 def q_by_source(spark, sf_dir):
-    found = catalog.query(_catalog(spark, sf_dir), source_url=_first_url(spark, sf_dir))
-    return _catalog_columns(found)
+    source = _first_url(spark, sf_dir)
+    return _catalog_columns(catalog.find(spark, _stored_catalog(spark, sf_dir), source_url=source))
 
 
 def q_by_both(spark, sf_dir):
     source = _first_url(spark, sf_dir)
-    found = catalog.query(_catalog(spark, sf_dir), keyword=KEYWORD, source_url=source)
+    found = catalog.find(spark, _stored_catalog(spark, sf_dir), keyword=KEYWORD, source_url=source)
     return _catalog_columns(found)
 
 
 def q_result_count(spark, sf_dir):
-    return catalog.result_count(_catalog(spark, sf_dir, catalog.KEY), keyword=KEYWORD)
+    return catalog.find_count(spark, _stored_catalog(spark, sf_dir), keyword=KEYWORD)
 
 
 def q_href_lookup(spark, sf_dir):
-    rows = _catalog(spark, sf_dir, catalog.HREF_COLUMNS)
-    wanted = _links(spark, sf_dir).select(
-        ux.resolve_href(F.col("source_url"), F.col("href")).alias("href_url")
-    )
-    found = catalog.by_href(rows, wanted.agg(F.max("href_url")).scalar())
+    folder = _stored_catalog(spark, sf_dir)
+    wanted = catalog.stored(spark, folder, "href").agg(F.max("href_url")).first()[0]
+    found = catalog.find_href(spark, folder, wanted)
     return found.withColumn("relevance_score", F.round("relevance_score", 6))
 
 
@@ -462,7 +556,7 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_best_links(spark, sf_dir):
     return _best(spark, sf_dir).select(
         "source_url", "keyword", "href_url", _rounded("score", "score"),
-        F.col("first_seq").cast("bigint").alias("first_seq"),
+        _seq("first_seq"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,8 +17,9 @@ from linkscore.operators.links import (
     malformed_links,
     with_keywords,
 )
-from linkscore.operators.providers import Similarity
+from linkscore.operators.providers import Encoder, Similarity
 from linkscore.operators.score import TEXT_TERMS, score_links, with_text_terms
+from linkscore.operators.vector_store import VectorStore, score_with_vectors
 from linkscore.sources import robots, targets as tg
 from linkscore.sources.pages import error_records, page_error, valid_pages
 from linkscore.storage import materialized
@@ -48,7 +49,7 @@ def ranked_links(
 
 @dataclass
 class Run:
-    """Outputs of :func:`run`, both lazy; reading them does not parse the pages again."""
+    """Outputs of :func:`run`, both lazy; reading them does not parse the pages again, nor encode texts."""
 
     items: DataFrame
     errors: DataFrame
@@ -60,9 +61,14 @@ def run(
     robots_files: DataFrame | None = None,
     containers: Sequence[str] = DEFAULT_CONTAINERS,
     similarity: Similarity | None = None,
+    vectors: VectorStore | None = None,
+    load_encoder: Callable[[], Encoder] | None = None,
 ) -> Run:
     """Scored items of all targets, and the error records of what could not be processed.
 
+    With ``vectors`` and ``load_encoder`` the similarities are those of the encoder: texts that the store
+    does not have are encoded and added to it.
+
     ``targets`` is ``(url, keyword[, container])``. Pages are parsed here, once, into a table of
     element rows: parsing is the larger part of the work, and the rows are a small part of the
     markup. Rules of ``robots_files`` are applied before parsing when they are small, and otherwise
@@ -99,8 +105,13 @@ def run(
     malformed = malformed_links(rows)
     errors = errors.unionByName(tg.of_targets(malformed, urls, few, F.col("message")))
     # Texts are made into terms before the keywords of targets multiply the links.
-    links = tg.links_of_targets(with_text_terms(links_from_elements(rows)), targets, few)
-    return Run(score_links(links.select(*ITEM_COLUMNS, *TEXT_TERMS), similarity), errors)
+    listed = rows.filter("tag = 'a'").select(F.col("url").alias("source_url"), F.inline("scopes"))
+    listed = listed.select("source_url", "container")
+    links = tg.links_of_targets(with_text_terms(links_from_elements(rows)), targets, few, listed)
+    items = links.select(*ITEM_COLUMNS, *TEXT_TERMS)
+    if vectors is not None:
+        return Run(score_with_vectors(items, vectors, load_encoder), errors)
+    return Run(score_links(items, similarity), errors)
 
 
 def store(run_output: Run, path: str, batch_id: int, writer: str = "run") -> None:

@@ -8,7 +8,15 @@ PAGE = "page_id bigint, url string, html string"
 
 ELEMENT_FIELDS = (
     "pos int, end_pos int, tag string, attrs map<string,string>, text string, "
-    "text_stripped string, scopes array<struct<container:string,pos:int>>, headings array<string>"
+    "text_stripped string, scopes array<struct<container:string,pos:int>>"
+)
+
+# Rows that links are made from. Texts are stretches of bytes of their page's text (of headings: of the
+# text without blanks at the ends of its parts), which is in one row of the page.
+LINK_ROW_FIELDS = (
+    "pos int, tag string, attrs map<string,string>, span struct<first:int,last:int>, "
+    "scopes array<struct<container:string,pos:int>>, headings array<struct<first:int,last:int>>, "
+    "page_text binary, page_stripped binary"
 )
 
 LINK_ITEM = (

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +25,14 @@ def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that does not have it installed.
+
+    The queries of ``linkscore.llm`` need it there; the other Python functions carry their code along.
+    """
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="linkscore-")  # read by the driver, which hands the file out
+    archive = shutil.make_archive(f"{folder}/linkscore", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)

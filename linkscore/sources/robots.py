@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from linkscore.functions import text as tx
 from linkscore.functions import urls as ux
-from linkscore.operators.skew import salted_join
+from linkscore.operators.skew import pieces, salted_join
 
 # Fixed value: the agent that pages are fetched as.
 USER_AGENT = (
@@ -135,7 +135,8 @@ def with_decision(pages: DataFrame, rules: DataFrame, small: bool | None = None)
     if small:
         joined = keyed.join(F.broadcast(rules), "host", "left")
     else:
-        joined = salted_join(keyed, rules, ["host"], F.col("page_id"), "left")
+        dealt = pieces(keyed.select("host"), ["host"])
+        joined = salted_join(keyed, rules, ["host"], F.col("page_id"), "left", dealt)
     allowed = is_allowed(request_target(F.col("url")), F.col("rules"))
     return joined.withColumn("allowed", allowed).drop("host", "rules")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkscore.operators.skew import fits, matching_join, salted_join
+from linkscore.operators.skew import fits, matching_join, pieces, salted_join
 
 # Up to this many target URLs the pages are cut down to them before they are parsed.
 MAX_BROADCAST_URLS = 1_000_000
@@ -39,18 +39,23 @@ def target_urls(targets: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def of_targets(rows: DataFrame, urls: DataFrame, few: bool, spread: Column, column: str = "url") -> DataFrame:
-    """Rows whose URL some target names. With many URLs the rows are shuffled: hand in slim ones."""
+    """Rows whose URL some target names. With many URLs the rows are shuffled and their URLs counted:
+    hand in slim rows of a scan or a written table."""
     named = urls.withColumnRenamed("url", column)
     if few:
         return rows.join(F.broadcast(named), column, "left_semi").select(*rows.columns)
-    return salted_join(rows, named, [column], spread, "left_semi").select(*rows.columns)
+    dealt = pieces(rows.select(column), [column])
+    return salted_join(rows, named, [column], spread, "left_semi", dealt).select(*rows.columns)
 
 
-def links_of_targets(links: DataFrame, targets: DataFrame, few: bool) -> DataFrame:
+def links_of_targets(
+    links: DataFrame, targets: DataFrame, few: bool, listed: DataFrame | None = None
+) -> DataFrame:
     """Links once per keyword of their page and container.
 
-    Few targets are broadcast. Otherwise the links of a page are spread over several tasks, so a URL
-    with very many links is no straggler; only the targets are copied for that.
+    Few targets are broadcast. Otherwise the links of a page are spread over as many tasks as they need,
+    so a URL with very many links is no straggler; only the targets are copied for that. ``listed`` has
+    the source_url and container of each link and is cheaper to count than ``links``.
     """
     wanted = targets.filter(F.col("url").isNotNull()).select(
         F.col("url").alias("source_url"), "keyword", "container"
@@ -58,7 +63,8 @@ def links_of_targets(links: DataFrame, targets: DataFrame, few: bool) -> DataFra
     on = ["source_url", "container"]
     if few and fits(wanted, MAX_BROADCAST_URLS):
         return matching_join(links, F.broadcast(wanted), on, "inner")
-    return salted_join(links, wanted, on, F.col("link_pos"), "inner")
+    dealt = pieces((links if listed is None else listed).select(*on), on)
+    return salted_join(links, wanted, on, F.col("seq"), "inner", dealt)
 
 
 def absent_pages(targets: DataFrame, pages: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Folders of local sessions without the setting, by application; a session's setting cannot be changed.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError(f"{SETTING} must name a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="linkscore-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="linkscore-")
+    return _LOCAL[application]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -4,17 +4,23 @@ A queue is a directory of JSON lines. Publishing appends files, a stage reads th
 read yet (its checkpoint knows which), applies a DataFrame function, and writes its output as the
 next queue. First in, first out within a page is the ``seq`` column: rows of a Spark table have no
 arrival order.
+
+Between stages every item is handed on exactly once. A stage records a batch when it is written
+(:mod:`linkscore.commits`), and the next stage reads the stream of records: a batch that failed half-way is
+not recorded, and one that is recorded is not written again when the stage is retried.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkscore import commits
 from linkscore.operators import catalog
 from linkscore.operators.links import extract_links, link_items, with_keywords
 from linkscore.schemas import LINK_ITEM, struct
@@ -29,6 +35,37 @@ STAGE_PARTITIONS = ", writer string, batch_id bigint, outcome string"
 _FOLDERS = ("writer", "batch_id", "outcome")
 
 
+@dataclass
+class StageQueue:
+    """The output of a stage as the queue of the next one: batches that the stage has recorded."""
+
+    spark: SparkSession
+    path: str
+    schema: str
+    outcome: str = "ok"
+    per_batch: int = 1
+
+    def records(self) -> DataFrame:
+        return commits.record_stream(self.spark, _log(self.path), self.per_batch)
+
+    def items(self, records: DataFrame) -> DataFrame:
+        """Items of recorded batches; of a batch of records there are ``per_batch`` at most."""
+        folders = sorted({r["folder"] for r in records.select("folder").collect()})
+        return _items_of(self.spark, self.path, folders, self.schema, self.outcome)
+
+
+def _log(output: str) -> str:
+    return f"{output.rstrip('/')}_commits"
+
+
+def _items_of(spark: SparkSession, output: str, folders: list[str], schema: str, outcome: str) -> DataFrame:
+    fields = struct(f"{schema}, {CORRUPT} string" + STAGE_PARTITIONS)
+    written = spark.read.schema(fields).option("columnNameOfCorruptRecord", "_none")
+    items = written.option("basePath", output).json(folders)
+    # A stage without outcomes has only items.
+    return items.filter(F.coalesce("outcome", F.lit("ok")) == outcome).drop(*_FOLDERS)
+
+
 def publish(items: DataFrame, queue: str) -> None:
     """Append items to a queue."""
     items.write.mode("append").json(queue)
@@ -51,16 +88,20 @@ def read_queue(
     max_files: int | None = None,
     archive: str | None = None,
     from_stage: bool = False,
-) -> DataFrame:
+) -> DataFrame | StageQueue:
     """Stream of a queue's items; lines that are no items come as ``malformed``.
 
-    ``from_stage`` tells that the queue is the output of :func:`run_stage`: the items it processed
-    are read, not its dead letters. With ``archive`` the files of finished batches are moved there,
-    which clears the queue.
+    ``from_stage`` tells that the queue is the output of :func:`run_stage` or :func:`run_extract_stage`:
+    the batches it recorded are read, the processed items of each, not its dead letters; ``max_files`` is
+    then the number of batches taken together. With ``archive`` the files of finished batches are moved
+    there, which clears the queue.
     """
-    fields = f"{schema}, {CORRUPT} string" + (STAGE_PARTITIONS if from_stage else "")
+    if from_stage:
+        if archive:
+            raise ValueError("archive is for queues that items are published to")
+        return StageQueue(spark, queue, schema, per_batch=max_files or 1)
     reader = (
-        spark.readStream.schema(struct(fields))
+        spark.readStream.schema(struct(f"{schema}, {CORRUPT} string"))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
     )
@@ -70,17 +111,17 @@ def read_queue(
         reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    items = reader.json(queue)
-    return items.filter("outcome = 'ok'").drop(*_FOLDERS) if from_stage else items
+    return reader.json(queue)
 
 
 def stage_items(
     spark: SparkSession, output: str, schema: str, outcome: str = "ok"
 ) -> DataFrame:
-    """Items a stage has written: the processed ones, or with ``failed`` its dead letters."""
-    written = spark.read.schema(struct(f"{schema}, {CORRUPT} string" + STAGE_PARTITIONS))
-    items = written.option("columnNameOfCorruptRecord", "_none").json(output)
-    return items.filter(F.col("outcome") == outcome).drop(*_FOLDERS)
+    """Items a stage has recorded: the processed ones, or with ``failed`` its dead letters."""
+    folders = [r["folder"] for r in commits.recorded(spark, _log(output))]
+    if not folders:
+        return spark.createDataFrame([], struct(f"{schema}, {CORRUPT} string"))
+    return _items_of(spark, output, folders, schema, outcome)
 
 
 def peek(items: DataFrame) -> DataFrame:
@@ -93,7 +134,7 @@ def succeeded(column: str) -> Column:
 
 
 def run_stage(
-    source: DataFrame,
+    source: DataFrame | StageQueue,
     process: Callable[[DataFrame], DataFrame],
     result_column: str,
     output: str,
@@ -104,19 +145,37 @@ def run_stage(
     ``process`` must give a null ``result_column`` for items it cannot handle. A batch is computed
     and written once, split by outcome: ``output/writer=W/batch_id=N/outcome=ok`` is for the next
     stage, ``outcome=failed`` holds the dead letters. W belongs to the checkpoint, so stages that share
-    an output do not meet. A batch that is retried after a failure overwrites its own directory under
-    new file names; a next stage that has read the old ones by then reads its items again (the catalog
-    takes them once). Nothing is dropped and there is no item limit.
+    an output do not meet. A batch that is retried before it was recorded overwrites its own folder, which
+    nobody has read; one that is recorded is left alone. Nothing is dropped and there is no item limit.
     """
-    writer = writer_id(source.sparkSession, checkpoint)
 
-    def process_batch(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, folder: str) -> None:
         done = process(batch).withColumn("outcome", succeeded(result_column))
-        done.write.mode("overwrite").partitionBy("outcome").json(
-            f"{output}/writer={writer}/batch_id={batch_id}"
-        )
+        done.write.mode("overwrite").partitionBy("outcome").json(folder)
 
-    _run_to_end(source, process_batch, checkpoint)
+    _hand_on(source, write, output, checkpoint)
+
+
+def _hand_on(
+    source: DataFrame | StageQueue, write: Callable[[DataFrame, str], None], output: str, checkpoint: str
+) -> None:
+    """Run ``write`` on every batch of the source, with the batch's folder, and record what it wrote."""
+    spark = _session(source)
+    writer = writer_id(spark, checkpoint)
+
+    def hand_on(batch: DataFrame, batch_id: int) -> None:
+        name = f"{writer}-{batch_id}"
+        if commits.is_recorded(spark, _log(output), name):
+            return
+        folder = f"{output.rstrip('/')}/writer={writer}/batch_id={batch_id}"
+        write(batch, folder)
+        commits.record(spark, _log(output), name, folder=folder, writer=writer, batch_id=batch_id)
+
+    _run_to_end(source, hand_on, checkpoint)
+
+
+def _session(source: DataFrame | StageQueue) -> SparkSession:
+    return source.spark if isinstance(source, StageQueue) else source.sparkSession
 
 
 def run_extract_stage(
@@ -128,25 +187,22 @@ def run_extract_stage(
     ``output_errors`` the error records of its pages; a retry replaces both. ``output`` is a queue
     for the next stage.
     """
-    writer = writer_id(pages.sparkSession, checkpoint)
 
-    def extract_batch(batch: DataFrame, batch_id: int) -> None:
-        folder = f"writer={writer}/batch_id={batch_id}"
-        page_errors(batch).write.mode("overwrite").json(f"{output}_errors/{folder}")
+    def write(batch: DataFrame, folder: str) -> None:
+        page_errors(batch).write.mode("overwrite").json(folder.replace(output.rstrip("/"), f"{output.rstrip('/')}_errors", 1))
         links = extract_links(valid_pages(batch))
-        items = link_items(with_keywords(links, keywords))
-        items.write.mode("overwrite").json(f"{output}/{folder}")
+        link_items(with_keywords(links, keywords)).write.mode("overwrite").json(folder)
 
-    _run_to_end(pages, extract_batch, checkpoint)
+    _hand_on(pages, write, output, checkpoint)
 
 
-def run_store_stage(source: DataFrame, path: str, checkpoint: str) -> None:
+def run_store_stage(source: DataFrame | StageQueue, path: str, checkpoint: str) -> None:
     """Upsert everything in a queue of scored items into the catalog at ``path`` and stop.
 
     Each micro-batch is one catalog batch of the checkpoint's writer under the same number, so a
     retry replaces it, and nothing else does.
     """
-    writer = writer_id(source.sparkSession, checkpoint)
+    writer = writer_id(_session(source), checkpoint)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         catalog.append_batch(catalog.catalog_rows(batch.drop(CORRUPT)), path, batch_id, writer)
@@ -165,12 +221,21 @@ def writer_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def _run_to_end(
-    source: DataFrame, batch_function: Callable[[DataFrame, int], None], checkpoint: str
+    source: DataFrame | StageQueue,
+    batch_function: Callable[[DataFrame, int], None],
+    checkpoint: str,
 ) -> None:
+    if isinstance(source, StageQueue):
+        stream = source.records()
+
+        def each(records: DataFrame, batch_id: int) -> None:
+            batch_function(source.items(records), batch_id)
+    else:
+        stream, each = source, batch_function
     query = (
-        source.writeStream.trigger(availableNow=True)
+        stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(batch_function)
+        .foreachBatch(each)
         .start()
     )
     query.awaitTermination()

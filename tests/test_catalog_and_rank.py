@@ -237,19 +237,42 @@ def hot_left(spark):
     return spark.createDataFrame(list(enumerate(keys)), "i int, key string").repartition(4)
 
 
-@pytest.mark.parametrize(("hot_rows", "max_keys"), [(1_000_000, 1000), (100, 1000), (1, 3)])
-def test_lookup_join(spark, monkeypatch, hot_rows, max_keys):
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", max_keys)
+@pytest.mark.parametrize("least", [1_000_000, 100, 1])
+def test_lookup_join(spark, least):
     right = spark.createDataFrame(
         [("hot", -1)] + [(f"k{i}", i) for i in range(50)], "key string, value int"
     )
     left = hot_left(spark)
-    joined = skew.lookup_join(left, right, "key", hot_rows)
+    joined = skew.lookup_join(left, right, "key", least)
     assert sorted(map(tuple, joined.select("i", "value").collect()), key=str) == sorted(
         map(tuple, left.join(right, "key", "left").select("i", "value").collect()), key=str
     )
 
 
+def test_hot_keys_are_dealt_out_evenly(spark, tmp_path):
+    """5,000 frequent keys and one with a third of all rows: no task has twice the median."""
+    rows = spark.range(300_000)
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5_000))
+    rows.select("id", key.alias("key")).write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = left.select("key").distinct().withColumn("value", F.length("key"))
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        dealt = skew.pieces(left.select("key"), ["key"], least=10)
+        assert dealt.count() <= skew.PIECES_PER_TASK * 16
+        joined = skew.lookup_join(left, right, "key", least=10)
+        tasks = joined.groupBy(F.spark_partition_id().alias("task")).agg(F.count("value").alias("n"))
+        sizes = sorted(r["n"] for r in tasks.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 300_000 and len(sizes) == 16
+    assert sizes[-1] <= 2 * sizes[8]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join(spark, how):
     right = spark.createDataFrame(

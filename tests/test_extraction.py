@@ -189,3 +189,39 @@ def test_deeply_nested_page(make_pages):
     html = "<div>" * depth + "<a href='/x'>x</a>"
     assert links_of(make_pages(html), "href") == ["/x"]
     assert extract_links(make_pages(html), ("div",)).agg(F.count("*")).first()[0] == depth
+
+
+def test_text_in_proportion_to_the_page(make_pages):
+    """Thousands of links in a heading, a paragraph and items that never end."""
+    n = 4_000
+    html = "<h1>Menu<p>" + "".join(f"<li><a href='/{i}'>link {i}" for i in range(n))
+    page = make_pages(html)
+    sizes = elements(page, ("",), for_links=True).select(
+        F.sum(F.octet_length("page_text") + F.octet_length("page_stripped")), F.count("*")
+    ).first()
+    assert sizes[0] < 3 * len(html) and sizes[1] < 3 * n
+    links = extract_links(page, ("",)).select(
+        "link_pos", F.length("text").alias("n"), F.length("context.previous_text").alias("before"),
+        F.length(F.col("context.heading_hierarchy")[0]).alias("heading"),
+    ).collect()
+    text = ["Menu", *(f"link {i}" for i in range(n))]
+    total = sum(map(len, text))
+    assert len(links) == n and {r["heading"] for r in links} == {total}
+    left = total - len(text[0])
+    for r, own in zip(sorted(links), text[1:]):
+        assert (r["n"], r["before"]) == (left, left)
+        left -= len(own)
+
+
+def test_one_order_over_containers(make_pages):
+    html = "<body><a href='/0'>0</a><div><a href='/1'>1</a><div><a href='/2'>2</a></div></div><a href='/3'>3</a></body>"
+    found = rows(
+        extract_links(make_pages(html, html), ("", "body", "div")).orderBy("seq"),
+        "page_id", "seq", "container", "link_pos", "href",
+    )
+    assert len({r[1] for r in found}) == len(found) == 2 * (4 + 4 + 3)
+    one = [(c, n, h) for page, _, c, n, h in found if page == 1]
+    assert one == [
+        *(("", i + 1, f"/{i}") for i in range(4)), *(("body", i + 1, f"/{i}") for i in range(4)),
+        ("div", 1, "/1"), ("div", 2, "/2"), ("div", 3, "/2"),
+    ]
