@@ -103,56 +103,141 @@ class Grammar:
         return self.expand(self.sequence[a:b])[start - before : end - before]
 
 
+def _mixed_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    bucket = left.astype(np.uint32) * np.uint32(0x9E3779B1)
+    bucket ^= right.astype(np.uint32) * np.uint32(0x85EBCA77)
+    return (bucket * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _BITS)
+
+
+class _Pairs:
+    """Places of the pairs that occur often enough, by pair; places that changed since are left out on use."""
+
+    def __init__(self):
+        self.places = [np.empty(0, np.int32)]
+        self.held = 0
+        self.codes, self.first, self.count = (np.empty(0, np.int64) for _ in range(3))
+
+    def add(self, codes: np.ndarray, places: np.ndarray) -> None:
+        """Pairs of these places; those with fewer than ``LEAST_COUNT`` are not kept."""
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else order
+        counts = np.diff(np.append(starts, len(codes)))
+        often = counts >= LEAST_COUNT
+        if not often.any():
+            return
+        kept = places[order][np.repeat(often, counts)]
+        counts = counts[often]
+        self.codes = np.concatenate([self.codes, codes[starts[often]]])
+        self.first = np.concatenate([self.first, self.held + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.places.append(kept.astype(np.int32))
+        self.held += len(kept)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of some pairs, and for each the pair's place among them."""
+        if len(self.places) > 1:
+            self.places = [np.concatenate(self.places)]
+        counts = self.count[numbers]
+        which = np.repeat(np.arange(len(numbers)), counts)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.places[0][self.first[numbers][which] + at], which
+
+    def keep(self, numbers: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
+        """From now on, these are the places of these pairs."""
+        counts = np.bincount(which, minlength=len(numbers))
+        order = np.argsort(which, kind="stable")
+        self.places[0][np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts) + np.arange(len(order))] = places[order]
+        self.count[numbers] = counts
+
+    def drop(self) -> None:
+        alive = self.count >= LEAST_COUNT
+        if not alive.all():
+            self.codes, self.first, self.count = self.codes[alive], self.first[alive], self.count[alive]
+
+
 def compress(ids: np.ndarray) -> Grammar:
     """Re-Pair, with the frequent pairs of a round replaced together. Of overlapping pairs the more
-    frequent one is replaced, of equal ones the leftmost; so the most frequent pair always is."""
-    x = ids.astype(np.int32)
+    frequent one is replaced, of equal ones the leftmost; so the most frequent pair always is.
+
+    Pairs are counted once. After that a round touches only the places it replaces and their neighbours, which
+    are found by the number of the next and the previous symbol that is left.
+    """
+    n = len(ids)
+    x = np.append(ids, -1).astype(np.int32)
     base = symbol = int(x.max(initial=0)) + 1
-    rules = []
-    while len(x) > 1:
-        bucket = x[:-1].astype(np.uint32) * np.uint32(0x9E3779B1)
-        bucket ^= x[1:].astype(np.uint32) * np.uint32(0x85EBCA77)
-        bucket = (bucket * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _BITS)
-        # A pair is at most as frequent as its bucket; those of the other buckets are counted exactly.
+    following, previous = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    rules: list[np.ndarray] = []
+    while True:
+        left = np.flatnonzero(x[:-1] >= 0)
+        if len(left) < 2:
+            break
+        symbols = x[left]
+        # A pair is at most as frequent as its bucket; those of the other buckets are not looked at.
+        bucket = _mixed_pairs(symbols[:-1], symbols[1:])
         at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
-        code = (x[at].astype(np.int64) << 32) | x[at + 1]
-        pairs, counts = np.unique(code, return_counts=True)
-        if counts.max(initial=0) < LEAST_COUNT:
+        pairs = _Pairs()
+        pairs.add((symbols[at].astype(np.int64) << 32) | symbols[at + 1], left[at])
+        # Places that waited may have become frequent pairs anew: counted again until there are none.
+        if not len(pairs.codes):
+            break
+        before = symbol
+        symbol = _replace_all(x, following, previous, pairs, rules, symbol)
+        if symbol == before:
             break
-        often = np.flatnonzero(counts >= max(LEAST_COUNT, int(counts.max()) // STEP_DOWN))
-        often = often[np.argsort(-counts[often], kind="stable")]
-        wanted = np.zeros(1 << _BITS, bool)
-        left, right = (pairs[often] >> 32).astype(np.int32), (pairs[often] & 0xFFFFFFFF).astype(np.int32)
-        mark = left.astype(np.uint32) * np.uint32(0x9E3779B1)
-        mark ^= right.astype(np.uint32) * np.uint32(0x85EBCA77)
-        wanted[(mark * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _BITS)] = True
-        some = wanted[bucket[at]]
-        at, code = at[some], code[some]
-        order = np.argsort(pairs[often])
-        ordered = pairs[often][order]
-        found = np.minimum(np.searchsorted(ordered, code), len(ordered) - 1)
-        exact = ordered[found] == code
-        at, rank = at[exact], order[found[exact]]
+    return Grammar(base, np.concatenate(rules) if rules else np.empty((0, 2), np.int32), x[:-1][x[:-1] >= 0])
+
+
+def _replace_all(x, following, previous, pairs: _Pairs, rules: list, symbol: int) -> int:
+    """Rounds of replacement until none of the pairs is frequent; gives the next free symbol."""
+    while len(pairs.codes):
+        often = np.flatnonzero(pairs.count >= max(LEAST_COUNT, int(pairs.count.max()) // STEP_DOWN))
+        often = often[np.argsort(-pairs.count[often], kind="stable")]
+        places, which = pairs.of(often)
+        left, right = (pairs.codes[often] >> 32).astype(np.int32), (pairs.codes[often] & 0xFFFFFFFF).astype(np.int32)
+        there = (x[places] == left[which]) & (x[following[places]] == right[which])
+        places, which = places[there], which[there]
+        order = np.argsort(places, kind="stable")
+        at, rank = places[order], which[order]
         # Places of pairs that overlap a more frequent one wait for a later round.
-        touch = np.diff(at) == 1
+        touch = following[at[:-1]] == at[1:]
         stays = np.ones(len(at), bool)
         stays[1:] &= ~(touch & (rank[1:] > rank[:-1]))
         stays[:-1] &= ~(touch & (rank[:-1] > rank[1:]))
-        at, rank = at[stays], rank[stays]
-        new_run = np.concatenate([[True], np.diff(at) != 1])
-        run_start = at[new_run][np.cumsum(new_run) - 1]
-        kept = (at - run_start) % 2 == 0
-        at, rank = at[kept], rank[kept]
+        chosen = np.flatnonzero(stays)
+        if len(chosen):
+            new_run = np.concatenate([[True], following[at[chosen[:-1]]] != at[chosen[1:]]])
+            number = np.arange(len(chosen))
+            chosen = chosen[(number - number[new_run][np.cumsum(new_run) - 1]) % 2 == 0]
         # So do pairs of which too few places are left.
-        enough = np.bincount(rank, minlength=len(often)) >= LEAST_COUNT
-        enough[0] = True
-        at, rank = at[enough[rank]], rank[enough[rank]]
-        used, renumbered = np.unique(rank, return_inverse=True)
-        rules.append(np.column_stack([left[used], right[used]]))
-        x[at] = symbol + renumbered
-        symbol += len(used)
-        x = np.delete(x, at + 1)
-    return Grammar(base, np.concatenate(rules) if rules else np.empty((0, 2), np.int32), x)
+        enough = np.bincount(rank[chosen], minlength=len(often)) >= LEAST_COUNT
+        if not enough.any() and len(chosen):
+            counts = np.bincount(rank, minlength=len(often))
+            enough[0] = counts[0] >= LEAST_COUNT
+        chosen = chosen[enough[rank[chosen]]]
+        waits = np.ones(len(at), bool)
+        waits[chosen] = False
+        pairs.keep(often, at[waits], rank[waits])
+        at, rank = at[chosen], rank[chosen]
+        if len(at):
+            used, renumbered = np.unique(rank, return_inverse=True)
+            rules.append(np.column_stack([left[used], right[used]]))
+            gone = following[at]
+            behind = following[gone]
+            x[at], x[gone] = symbol + renumbered, -1
+            following[at] = behind
+            previous[behind] = at
+            symbol += len(used)
+            # New pairs: with the symbol before, unless that is a replaced one, and with the one behind.
+            before = previous[at]
+            fresh = before >= 0
+            fresh[1:] &= before[1:] != at[:-1]
+            changed = np.concatenate([before[fresh], at[x[behind] >= 0]])
+            pairs.drop()
+            pairs.add((x[changed].astype(np.int64) << 32) | x[following[changed]], changed)
+        else:
+            pairs.drop()
+    return symbol
 
 
 BLOCK = (
