@@ -119,7 +119,7 @@ class _Pairs:
 
     def add(self, codes: np.ndarray, places: np.ndarray) -> None:
         """Pairs of these places; those with fewer than ``LEAST_COUNT`` are not kept."""
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes)
         codes = codes[order]
         starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else order
         counts = np.diff(np.append(starts, len(codes)))
@@ -146,7 +146,7 @@ class _Pairs:
     def keep(self, numbers: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
         """From now on, these are the places of these pairs."""
         counts = np.bincount(which, minlength=len(numbers))
-        order = np.argsort(which, kind="stable")
+        order = np.argsort(which)
         self.places[0][np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts) + np.arange(len(order))] = places[order]
         self.count[numbers] = counts
 
@@ -197,7 +197,7 @@ def _replace_all(x, following, previous, pairs: _Pairs, rules: list, symbol: int
         left, right = (pairs.codes[often] >> 32).astype(np.int32), (pairs.codes[often] & 0xFFFFFFFF).astype(np.int32)
         there = (x[places] == left[which]) & (x[following[places]] == right[which])
         places, which = places[there], which[there]
-        order = np.argsort(places, kind="stable")
+        order = np.argsort(places)
         at, rank = places[order], which[order]
         # Places of pairs that overlap a more frequent one wait for a later round.
         touch = following[at[:-1]] == at[1:]

@@ -135,3 +135,39 @@ def test_grammar_goes_on_until_no_pair_is_frequent():
         assert g.expand().tolist() == ids.tolist()
         code = g.sequence[:-1].astype(np.int64) << 32 | g.sequence[1:]
         assert np.unique(code, return_counts=True)[1].max(initial=0) < T.LEAST_COUNT
+
+
+def plain_re_pair(ids, least):
+    """One pair at a time: the most frequent one, its places from the left."""
+    x, symbol, n_rules = list(ids), max(ids) + 1, 0
+    while True:
+        counts, last = {}, {}
+        for i, pair in enumerate(zip(x, x[1:])):
+            if last.get(pair) != i - 1:  # overlapping places of one pair count once
+                counts[pair] = counts.get(pair, 0) + 1
+                last[pair] = i
+            else:
+                last[pair] = None
+        best = max(counts, key=counts.get, default=None)
+        if best is None or counts[best] < least:
+            return len(x), n_rules
+        out, i = [], 0
+        while i < len(x):
+            if tuple(x[i : i + 2]) == best:
+                out.append(symbol)
+                i += 2
+            else:
+                out.append(x[i])
+                i += 1
+        x, symbol, n_rules = out, symbol + 1, n_rules + 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grammar_against_a_plain_re_pair(seed):
+    rng = random.Random(seed)
+    phrases = [[rng.randint(0, 30 * (seed + 1)) for _ in range(rng.randint(1, 12))] for _ in range(30)]
+    ids = [t for _ in range(600) for t in rng.choice(phrases)]
+    n_symbols, n_rules = plain_re_pair(ids, T.LEAST_COUNT)
+    g = T.compress(np.array(ids))
+    assert g.expand().tolist() == ids
+    assert len(g.sequence) + 2 * len(g.rules) <= 1.1 * (n_symbols + 2 * n_rules)
