@@ -9,8 +9,8 @@ always are, also if another page quotes them. Differencing decides about the lin
 pages without an article element. A pair that shares nearly all of a page's text is a copy and tells nothing
 about that page.
 
-Shuffled are hashes of lines (64 bits, xxHash) with their page's host and place, and, for pages that lose
-lines, the row with its text. The order of a host's pages is cut in blocks of bounded size, neighbours of a
+Shuffled are hashes of lines (64 bits, xxHash) with their page's host and place. What pages lose is broadcast
+to their texts; only beyond a number of pages and lines are texts shuffled to it. The order of a host's pages is cut in blocks of bounded size, neighbours of a
 border in both; a host with a third of all pages is numbered slice by slice.
 
 Defined cases: null and empty markup has an empty text; pages without host (null URL, no "://") are not
@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 
 from linkscore.llm.page_lines import AWAY, UNSURE, lines_and_roles
 from linkscore.operators.skew import row_number_in_group
-from linkscore.storage import materialized
+from linkscore.storage import materialized, new_folder
 
 #: Pages of a host in a block, and pages in a task, about.
 BLOCK_PAGES, TASK_PAGES = 128, 2_000
 #: Hosts with more pages are numbered slice by slice.
-HOST_PAGES = 1_000
+HOST_PAGES = 256
 #: A page that shares so much of the text it would have is a copy.
 COPY_SHARE = 0.9
+#: Pages that lost lines, and lines lost, that are broadcast at most.
+MAX_LOST_PAGES, MAX_LOST_LINES = 1_000_000, 10_000_000
 #: Bytes of the table that an alignment is read off; longer pages are halved first.
 TABLE_BYTES = 1 << 24
 
@@ -185,8 +187,14 @@ def lines_of_neighbours(parsed: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row of ``pages``: lines of the main text, in page order."""
-    parsed = materialized(parsed_lines(pages).withColumn("_row", F.monotonically_increasing_id()), "lines")
-    lost = lines_of_neighbours(parsed)
+    spark, folder = pages.sparkSession, new_folder(pages.sparkSession, "lines")
+    numbered = parsed_lines(pages).withColumn("_row", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(folder)  # texts make up most of it
+    parsed = spark.read.schema(numbered.schema).parquet(folder)
+    lost = materialized(lines_of_neighbours(parsed), "lost")
+    n_pages, n_lines = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()
+    if n_pages <= MAX_LOST_PAGES and n_lines <= MAX_LOST_LINES:
+        lost = F.broadcast(lost)
     lines = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("lost", k))
     text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     return parsed.select("_row", "page_id", "url", "text").join(lost, "_row", "left").select(
