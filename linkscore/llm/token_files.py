@@ -109,24 +109,41 @@ def _mixed_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (bucket * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - _BITS)
 
 
+def _together(first: np.ndarray, second: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the order of the first, then the second, which has so many bits at most. Sorting numbers made
+    of both is several times faster than finding the order of one."""
+    if len(first) and int(first.max()) >> (63 - bits):
+        order = np.lexsort((second, first))
+        return first[order], second[order]
+    packed = (first.astype(np.int64) << bits) | second
+    packed.sort()
+    return packed >> bits, packed & ((1 << bits) - 1)
+
+
 class _Pairs:
-    """Places of the pairs that occur often enough, by pair; places that changed since are left out on use."""
+    """Places of the pairs that occur often enough, by pair; places that changed since are left out on use.
+
+    A pair is one number, its left symbol times 2^``symbol_bits`` and its right one.
+    """
 
-    def __init__(self):
+    def __init__(self, n: int, base: int):
+        # Every rule saves some symbols, so there are fewer rules than symbols at first.
+        self.symbol_bits, self.place_bits = (base + n // (LEAST_COUNT // 2)).bit_length(), n.bit_length()
         self.places = [np.empty(0, np.int32)]
         self.held = 0
         self.codes, self.first, self.count = (np.empty(0, np.int64) for _ in range(3))
 
     def add(self, codes: np.ndarray, places: np.ndarray) -> None:
         """Pairs of these places; those with fewer than ``LEAST_COUNT`` are not kept."""
-        order = np.argsort(codes)
-        codes = codes[order]
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else order
+        if len(codes) < LEAST_COUNT:
+            return
+        codes, places = _together(codes, places, self.place_bits)
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
         counts = np.diff(np.append(starts, len(codes)))
         often = counts >= LEAST_COUNT
         if not often.any():
             return
-        kept = places[order][np.repeat(often, counts)]
+        kept = places[np.repeat(often, counts)]
         counts = counts[often]
         self.codes = np.concatenate([self.codes, codes[starts[often]]])
         self.first = np.concatenate([self.first, self.held + np.cumsum(counts) - counts])
@@ -146,9 +163,14 @@ class _Pairs:
     def keep(self, numbers: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
         """From now on, these are the places of these pairs."""
         counts = np.bincount(which, minlength=len(numbers))
-        order = np.argsort(which)
-        self.places[0][np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts) + np.arange(len(order))] = places[order]
         self.count[numbers] = counts
+        if len(places):
+            _, places = _together(which, places, self.place_bits)
+            at = np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts) + np.arange(len(places))
+            self.places[0][at] = places
+
+    def code(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(np.int64) << self.symbol_bits) | right
 
     def drop(self) -> None:
         alive = self.count >= LEAST_COUNT
@@ -176,8 +198,8 @@ def compress(ids: np.ndarray) -> Grammar:
         # A pair is at most as frequent as its bucket; those of the other buckets are not looked at.
         bucket = _mixed_pairs(symbols[:-1], symbols[1:])
         at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
-        pairs = _Pairs()
-        pairs.add((symbols[at].astype(np.int64) << 32) | symbols[at + 1], left[at])
+        pairs = _Pairs(n, base)
+        pairs.add(pairs.code(symbols[at], symbols[at + 1]), left[at])
         # Places that waited may have become frequent pairs anew: counted again until there are none.
         if not len(pairs.codes):
             break
@@ -193,12 +215,10 @@ def _replace_all(x, following, previous, pairs: _Pairs, rules: list, symbol: int
     while len(pairs.codes):
         often = np.flatnonzero(pairs.count >= max(LEAST_COUNT, int(pairs.count.max()) // STEP_DOWN))
         often = often[np.argsort(-pairs.count[often], kind="stable")]
-        places, which = pairs.of(often)
-        left, right = (pairs.codes[often] >> 32).astype(np.int32), (pairs.codes[often] & 0xFFFFFFFF).astype(np.int32)
-        there = (x[places] == left[which]) & (x[following[places]] == right[which])
-        places, which = places[there], which[there]
-        order = np.argsort(places)
-        at, rank = places[order], which[order]
+        at, rank = _together(*pairs.of(often), len(often).bit_length())
+        left, right = (c.astype(np.int32) for c in np.divmod(pairs.codes[often], 1 << pairs.symbol_bits))
+        there = (x[at] == left[rank]) & (x[following[at]] == right[rank])
+        at, rank = at[there], rank[there]
         # Places of pairs that overlap a more frequent one wait for a later round.
         touch = following[at[:-1]] == at[1:]
         stays = np.ones(len(at), bool)
@@ -234,7 +254,7 @@ def _replace_all(x, following, previous, pairs: _Pairs, rules: list, symbol: int
             fresh[1:] &= before[1:] != at[:-1]
             changed = np.concatenate([before[fresh], at[x[behind] >= 0]])
             pairs.drop()
-            pairs.add((x[changed].astype(np.int64) << 32) | x[following[changed]], changed)
+            pairs.add(pairs.code(x[changed], x[following[changed]]), changed)
         else:
             pairs.drop()
     return symbol
