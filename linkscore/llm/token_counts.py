@@ -2,7 +2,7 @@
 
 Two deterministic transducers count the tokens of a byte-level BPE tokenizer without producing them:
 
-* The *splitter* reads characters by class and marks where pretokens start. It has 15 states. A stream
+* The *splitter* reads characters by class and marks where pretokens start. It has 13 states. A stream
   of texts is cut into chunks of a fixed length; the map from entry to exit state of each chunk is
   found for all chunks at once, maps are composed by a parallel prefix scan, and with the entry states
   known all chunks are read again side by side.
@@ -11,7 +11,9 @@ Two deterministic transducers count the tokens of a byte-level BPE tokenizer wit
   only vocabulary token that ends there and is compatible with the last token before it. A state is
   therefore the longest suffix that a longer token starts with, and the last tokens and relative counts
   at the places within it where a token can start: finitely many, built when first reached. It starts anew at every mark, so a
-  chunk's map is constant after its first mark and pretokens can be read side by side.
+  chunk's map is constant after its first mark and pretokens can be read side by side. A pretoken of more
+  than ``LONG`` bytes is read by itself: the last tokens are found place by place, without building
+  states that nothing else will reach.
 
 A worker forgets the counter's states when there are more than a limit, so memory is bounded.
 
@@ -42,6 +44,8 @@ CHUNK = 512
 MAX_STATES = 95_000
 #: Verdicts on pairs of tokens that a worker keeps.
 MAX_PAIRS = 600_000
+#: Pretokens of more bytes are read one by one.
+LONG = 400
 
 # Classes of characters.
 LETTER, NUMBER, SPACE, WHITE, OTHER, QUOTE, S, R, V, L_, E_, END = range(12)
@@ -314,14 +318,42 @@ class Counter:
         self.table[state, self.column[byte]] = number
         self.added[state, self.column[byte]] = delta
 
+    def count_long(self, piece: bytes) -> int:
+        """Tokens of one pretoken: the last token at each place and the number of tokens up to it, of which
+        as many places are kept as a token has bytes."""
+        lasts, counts, suffix, kept = [-1], [0], b"", 4 * max(map(len, self.ids))
+        ids, fits = self.ids, self._fits
+        for byte in piece:
+            longer = suffix + bytes((byte,))
+            for n in range(len(longer), 0, -1):
+                token = ids.get(longer[-n:])
+                if token is not None and fits(lasts[-n], token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            lasts.append(token)
+            counts.append(counts[-n] + 1)
+            suffix = self._longest_open(longer)
+            if len(lasts) > 2 * kept:
+                del lasts[:kept], counts[:kept]
+                if len(self.compatible) > MAX_PAIRS:
+                    self.compatible.clear()
+        return counts[-1]
+
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each pretoken, all read side by side, the long ones to their end."""
+        """Tokens of each pretoken, the short ones read side by side."""
         if len(self.states) > MAX_STATES:
             self.forget()
         if len(self.compatible) > MAX_PAIRS:
             self.compatible.clear()
         out = np.zeros(len(starts), np.int64)
         lengths = ends - starts
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            short = np.flatnonzero(lengths <= LONG)
+            out[short] = self.count(data, starts[short], ends[short])
+            out[long] = [self.count_long(data[starts[k] : ends[k]].tobytes()) for k in long.tolist()]
+            return out
         order = np.argsort(-lengths, kind="stable")
         state = np.zeros(len(starts), np.int32)
         total = np.zeros(len(starts), np.int64)

@@ -58,3 +58,15 @@ def test_query_form(make_docs):
     out = C.count_tokens(docs, tokenizer_path(NAME)).collect()
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(None, 3, 2), (3, 0, 0), (3, 3, 2), (4, 0, 0)]))
     assert C.count_tokens(docs.filter("false"), tokenizer_path(NAME)).collect() == []
+
+
+def test_long_pretokens_are_read_by_themselves():
+    """Random letters, other scripts and runs of one character, next to short ones, against the library."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (399, 400, 401, 5_000, 60_000)]
+    words += ["".join(rng.choices("日本語学校電車時間東京", k=20_000)), "=" * 9_000, "the" * 4_000, "é" * 3_000]
+    texts = [*words, " ".join(words), "short " + words[3] + " short"]
+    counter = C.Counter(tokenizer_path(NAME))
+    _, n_tokens = C.count_texts(pa.array(texts), counter)
+    assert n_tokens.tolist() == [len(ids) for ids in plain_ids(texts, NAME)]
+    assert len(counter.states) < 50_000
