@@ -11,7 +11,8 @@ reach the driver.
 
 Defined cases: a null text is an empty one and is scored, too; labels for unknown documents and null
 labels or ids in them are ignored; a document labelled twice counts once, with the mean label rounded
-up; repeated documents are scored alike; without labels of both classes every score is the share of
+up; repeated documents are scored alike; of rows with one id and different texts the one of the smallest
+statistics is learned from, all are scored; without labels of both classes every score is the share of
 class 1 so far (1 without any label); empty tables give empty results; other columns are not read.
 """
 
@@ -35,6 +36,14 @@ THRESHOLD = 0.7
 POOLED, DIAGONAL, RIDGE = 0.3, 0.1, 1e-3
 
 
+def solved(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """z with factor z = b for a lower triangular factor, all columns of b at once, row by row."""
+    z = np.empty_like(b)
+    for i, row in enumerate(factor):
+        z[i] = (b[i] - row[:i] @ z[:i]) / row[i]
+    return z
+
+
 @dataclass
 class Model:
     """Means, Cholesky factors, log determinants and log prior per class (0, 1)."""
@@ -47,7 +56,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         logs = []
         for mean, factor, log_det, prior in zip(self.means, self.factors, self.log_dets, self.log_priors):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = solved(factor, (x - mean).T)
             logs.append(prior - 0.5 * log_det - 0.5 * (z * z).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
@@ -149,7 +158,8 @@ def learn(stated: DataFrame, labels: DataFrame) -> Model | Constant:
         .groupBy("doc_id")
         .agg(F.round(F.avg("quality")).cast("long").alias("label"))
     )
-    return fit(class_sums(stated.filter(~F.col("held_out")).dropDuplicates(["doc_id"]).join(known, "doc_id")))
+    labelled = stated.filter(~F.col("held_out")).join(known, "doc_id")
+    return fit(class_sums(labelled.groupBy("doc_id", "label").agg(F.min("x").alias("x"))))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -81,3 +81,22 @@ def test_odd_tables(spark, make_docs):
     assert Q.score_quality(docs, labels.filter("false")).first()["score"] == 1.0
     assert Q.score_quality(docs.filter("false"), labels).collect() == []
     assert Q.of_good_quality(docs, labels.filter("false")).count() == 4
+
+
+def test_rows_of_one_id_are_learned_from_once(spark, make_docs):
+    """Which of them does not depend on their order."""
+    docs, labels, _ = labelled(spark, make_docs, 120)
+    again = docs.withColumn("text", F.concat("text", F.lit(" other words here"))).filter("doc_id < 60")
+    probe = docs.filter("doc_id >= 60")
+    first, second = docs.unionByName(again), again.repartition(5).unionByName(docs.repartition(7))
+    a, b = (
+        {r["doc_id"]: r["score"] for r in Q.score_quality(d, labels).join(probe, "doc_id").collect()} for d in (first, second)
+    )
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-9
+
+
+def test_triangular_solves():
+    rng = np.random.default_rng(4)
+    factor = np.tril(rng.normal(0, 1, (6, 6))) + 3 * np.eye(6)
+    b = rng.normal(0, 1, (6, 9))
+    assert np.allclose(factor @ Q.solved(factor, b), b)
