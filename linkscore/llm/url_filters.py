@@ -6,8 +6,9 @@ listed (host suffix + path prefix). Expressions and rules meet in an equi-join o
 their digests; the full digest then confirms a match, and the longest rule wins (the longer host
 decides between rules of one length, then the text order of rule and verdict).
 
-All of it is Spark SQL functions. Cost: the distinct (host, path) pairs are expanded, never the rows;
-the verdicts go back to the rows over salted keys, so one very frequent URL does no harm.
+All of it is Spark SQL functions. Cost: the distinct (host, path) pairs are expanded, never the rows, to
+suffixes and prefixes of the sizes that rules have, so a host of thousands of labels takes no more than
+others; the verdicts go back to the rows over salted keys, so one very frequent URL does no harm.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and gets
 the default verdict; the host is everything up to ``/``, ``?``, ``#`` (ports and user names stay);
@@ -47,14 +48,12 @@ def with_host_and_path(pages: DataFrame) -> DataFrame:
     )
 
 
-def expressions(keys: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """(host, path) to one row per expression: every suffix of the host by labels, with every prefix
-    of the path that has the length of some rule's path."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+def expressions(keys: DataFrame, path_lengths: list[int], host_labels: list[int]) -> DataFrame:
+    """(host, path) to one row per expression: every suffix of the host that has as many labels as some
+    rule's host, with every prefix of the path that has the length of some rule's path."""
+    labels = F.array(*(F.lit(n) for n in host_labels))
+    known = F.filter(labels, lambda n: n <= F.size(F.split("host", r"\.", -1)))
+    suffixes = F.transform(known, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     lengths = F.filter(
         F.array(*(F.lit(n) for n in path_lengths)), lambda n: n <= F.length("path")
     )
@@ -85,7 +84,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .dropna()
         .distinct()
     )
-    lengths = [r[0] for r in usable.select(F.length("_path")).distinct().collect()]
+    lengths, labels = (
+        sorted(r[0] for r in usable.select(size).distinct().collect())
+        for size in (F.length("_path"), F.size(F.split("_host", r"\.", -1)))
+    )
     if not lengths:
         return parted.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     digest = _digest(F.col("_host"), F.col("_path"))
@@ -97,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         "verdict",
     )
     asked = (
-        expressions(parted.select("host", "path").distinct(), sorted(lengths))
+        expressions(parted.select("host", "path").distinct(), lengths, labels)
         .withColumn("_digest", digest)
         .withColumn("_prefix", F.substring("_digest", 1, PREFIX_DIGITS))
         .drop("_host", "_path")

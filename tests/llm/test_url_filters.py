@@ -54,6 +54,17 @@ def test_large_rule_tables_are_not_broadcast(spark, monkeypatch):
     assert judged(spark, urls, list(U.RULES)) == expected
 
 
+def test_hosts_of_many_labels(spark):
+    """Only as many labels as rules have are looked at."""
+    urls = [f"http://{'a.' * 20_000}b.com/a{'/x' * 20_000}", f"http://{'.' * 5_000}/", "http://com/"] * 3
+    rules = [("b.com", "/a", "block"), ("", "/", "block"), ("com", "/", "allow")]
+    expected = {i: brute(u, rules) for i, u in enumerate(urls)}
+    assert judged(spark, urls, rules) == expected
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    keys = U.with_host_and_path(pages).select("host", "path").distinct()
+    assert U.expressions(keys, [1, 2], [1, 2]).agg(F.sum(F.length("_host") + F.length("_path"))).first()[0] < 100
+
+
 def test_empty_tables(spark):
     assert judged(spark, [], list(U.RULES)) == {}
     assert judged(spark, ["http://a.com/"], []) == {0: ("a.com", "/", None, "allow")}
