@@ -154,8 +154,19 @@ def q_stream_catalog(spark, sf_dir):
 def q_clear_queue(spark, sf_dir):
     """Items left in a queue and items archived from it, after all were processed in three turns.
 
-    The files of a turn go to the archive when the next one is done, so those of the last stay.
+    The files of a turn go to the archive when the next one is done, so those of the last stay. They are
+    moved by the query itself here, not by threads of their own, so that all are moved when it ends.
     """
+    threads = "spark.sql.streaming.fileSource.cleaner.numThreads"
+    before = spark.conf.get(threads)
+    spark.conf.set(threads, "0")
+    try:
+        return _cleared_queue(spark, sf_dir)
+    finally:
+        spark.conf.set(threads, before)
+
+
+def _cleared_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "cleared")
     source, archive = f"{folder}/queue", f"{folder}/archive"
     items = _items(spark, sf_dir)

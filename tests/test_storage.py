@@ -76,6 +76,12 @@ def test_items_of_a_stage_that_has_not_run(spark, tmp_path):
 # -- catalog ---------------------------------------------------------------------------------
 
 
+@pytest.fixture
+def few_buckets(monkeypatch):
+    """Fewer files to write."""
+    monkeypatch.setattr(catalog, "BUCKETS", 4)
+
+
 def batch(spark, score, *keys):
     rows = [("i", *k, float(score), "{}", Decimal(i)) for i, k in enumerate(keys)]
     table = spark.createDataFrame(
@@ -96,7 +102,7 @@ def in_layout(spark, path, layout):
     return state(catalog.current(catalog.stored(spark, path, layout), columns=(*catalog.KEY, "relevance_score")))
 
 
-def test_lookups_read_one_bucket(spark, tmp_path):
+def test_lookups_read_one_bucket(spark, tmp_path, few_buckets):
     path = str(tmp_path / "catalog")
     catalog.append_batch(batch(spark, 1, *KEYS), path, 0)
     catalog.append_batch(batch(spark, 2, *KEYS[:30]), path, 1)
@@ -136,7 +142,7 @@ def files_of(path):
     return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(path) for f in names}
 
 
-def test_folding_touches_one_bucket_only(spark, tmp_path):
+def test_folding_touches_one_bucket_only(spark, tmp_path, few_buckets):
     path = str(tmp_path / "catalog")
     for n in range(4):
         catalog.append_batch(batch(spark, n, *KEYS[n:]), path, n)
@@ -157,7 +163,7 @@ def test_folding_touches_one_bucket_only(spark, tmp_path):
     assert all(in_layout(spark, path, layout) == newest for layout in catalog.LAYOUTS)
 
 
-def test_folds_and_later_batches(spark, tmp_path):
+def test_folds_and_later_batches(spark, tmp_path, few_buckets):
     """Batches after a fold, a fold of folds, and a batch that is stored again with fewer rows."""
     path = str(tmp_path / "catalog")
     catalog.append_batch(batch(spark, 1, *KEYS), path, 0, "a")
