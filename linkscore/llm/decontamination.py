@@ -46,6 +46,8 @@ WINDOW = 60
 EDIT_SHARE = 0.08
 #: Bytes of item texts that are broadcast at once.
 BLOCK_BYTES = 8_000_000
+#: Bytes of texts worked on at once (or one longer text): characters, hashes and places take some 70 times it.
+TEXT_BYTES = 1_000_000
 #: Hits and windows worked on at once.
 HITS, ALIGNED = 200_000, 2_000
 _BITS = 22
@@ -379,7 +381,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = shared.value
             for whole in batches:
-                for batch in chunks(whole):
+                for batch in chunks(whole, TEXT_BYTES):
                     data, raw = bytes_and_offsets(batch.column("text"))
                     codes, offsets, source = normalised(data, raw)
                     found = occurrences(codes, offsets, indexes)
@@ -418,7 +420,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = shared.value
             for whole in batches:
-                for batch in chunks(whole):
+                for batch in chunks(whole, TEXT_BYTES):
                     codes, offsets, _ = normalised(*bytes_and_offsets(batch.column("text")))
                     clean = np.ones(batch.num_rows, bool)
                     clean[occurrences(codes, offsets, indexes)["text"]] = False
