@@ -32,6 +32,8 @@ from linkscore.llm.text_arrays import bytes_and_offsets, chunks
 from linkscore.storage import materialized
 
 THRESHOLD = 0.7
+#: Bytes of texts worked on at once (or one longer text): places and marks take some 40 times it.
+TEXT_BYTES = 1_000_000
 #: Shares of the pooled covariance and of its own diagonal in the covariance of a class.
 POOLED, DIAGONAL, RIDGE = 0.3, 0.1, 1e-3
 
@@ -101,7 +103,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, TEXT_BYTES):
                 x = statistics(*bytes_and_offsets(batch.column("text")))
                 ids = batch.column("doc_id")
                 # A null id is held out of learning: no label can name it.
@@ -193,7 +195,7 @@ def of_good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, TEXT_BYTES):
                 score = model.score(statistics(*bytes_and_offsets(batch.column("text"))))
                 yield batch.filter(pa.array(score >= THRESHOLD))
 
