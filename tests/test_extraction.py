@@ -1,8 +1,10 @@
 """Elements and links on hand-made pages."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from linkscore.operators import elements as reader
 from linkscore.operators.elements import elements
 from linkscore.operators.links import extract_links, first_item, malformed_links, page_metadata
 from linkscore.operators.links import link_items, with_keywords
@@ -225,3 +227,16 @@ def test_one_order_over_containers(make_pages):
         *(("", i + 1, f"/{i}") for i in range(4)), *(("body", i + 1, f"/{i}") for i in range(4)),
         ("div", 1, "/1"), ("div", 2, "/2"), ("div", 3, "/2"),
     ]
+
+
+@pytest.mark.parametrize("for_links", [False, True])
+def test_elements_are_handed_back_slice_by_slice(monkeypatch, for_links):
+    """A batch's elements are many times its size: they are never all there at once."""
+    monkeypatch.setattr(reader, "SLICE_BYTES", 400)
+    long = "<body><p>x</p>" + '<a href="/y">y</a>' * 40 + "</body>"
+    pages = [f'<body><li><a href="/{i}">é {i}</a></li></body>' for i in range(60)] + [None, "", long, "", "<a"]
+    read = reader._elements_udf(("body",), for_links).func
+    parts = list(read(iter([pa.array(pages), pa.array([], pa.string()), pa.array(pages[:2])])))
+    assert max(len(p) for p in parts) <= 12
+    one = [p for page in [*pages, *pages[:2]] for p in read(iter([pa.array([page], pa.string())]))]
+    assert pa.concat_arrays(parts).to_pylist() == pa.concat_arrays(one).to_pylist()
