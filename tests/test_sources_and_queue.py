@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkscore.operators import catalog, rank
 from linkscore.operators.links import extract_links, link_items, with_keywords
 from linkscore.operators.score import score_links
-from linkscore.plans import runs
+from linkscore.plans import queries, runs
 from linkscore.schemas import SCORED_ITEM
 from linkscore.sources import robots, targets
 from linkscore.sources.pages import page_errors, read_page_stream, read_pages, valid_pages
@@ -304,3 +304,21 @@ def test_robots_hosts_in_any_case_and_repeated(spark):
     )
     decided = robots.with_decision(pages, robots.agent_rules(files)).collect()
     assert {r["page_id"]: r["allowed"] for r in decided} == {1: False, 2: True, 3: True}
+
+
+def test_turns_of_a_cleared_queue_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "cleared"
+    monkeypatch.setattr(queries, "new_folder", lambda _spark, _name: str(folder))
+    html = "<body>" + "".join(f'<a href="/{k}">t{k}</a>' for k in range(7)) + "</body>"
+    pages = spark.createDataFrame([(i, f"http://s/{i}", html) for i in range(40)], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        found = {(r["place"], r["keyword"]): r["n_items"] for r in queries.q_clear_queue(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(setting)
+    # Links 3, 6 are in the first turn, 1, 4, 7 in the second, 2, 5 in the last.
+    counts = {"archived": 40 * 5, "left": 40 * 2, "processed": 40 * 7}
+    assert found == {(place, k): n for place, n in counts.items() for k in queries.KEYWORDS}
+    assert len(list((folder / "archive").rglob("*.json"))) > 2
