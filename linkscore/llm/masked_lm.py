@@ -106,14 +106,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return slice_hashes(_LOWER[data], starts, ends), first
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in chunks(whole, 16_000_000):
-                values, counts = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n): hashes of the words of each slice of a batch and how often they are there.
 
-    counted = docs.select("text").mapInArrow(each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    Hashing takes some 50 bytes per byte of a slice, so slices are small.
+    """
+    for whole in batches:
+        for batch in chunks(whole):
+            values, counts = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["h", "n"])
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    counted = docs.select("text").mapInArrow(word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     folder = new_folder(docs.sparkSession, "words")
     counted.write.parquet(folder)
     counted = docs.sparkSession.read.schema(counted.schema).parquet(folder)

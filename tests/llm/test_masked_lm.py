@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,14 @@ def test_every_word_has_its_own_probability(make_docs, monkeypatch):
         assert less.value.below and len(less.value.more) <= most
         again = M.score(fresh, less, network).select("doc_id", "n_words", F.round("log_likelihood", 6))
         assert sorted(map(str, again.collect())) == out
+
+
+def test_words_of_large_batches_are_counted_in_little_memory():
+    text = " ".join(f"word{random.Random(1).randrange(20_000)} w{k}" for k in range(1_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * (16_000_000 // len(text)))], ["text"])
+    tracemalloc.start()
+    counts = [sum(part.column("n").to_pylist()) for part in M.word_counts(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(counts) == 2_000 * batch.num_rows
+    assert peak < 300_000_000
