@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +78,13 @@ class Grammar:
             return x.astype(np.int64)
         if self.pool is None:
             known: list[list[int]] = []
-            for pair in self.rules.tolist():
-                known.append([t for s in pair for t in ([s] if s < self.base else known[s - self.base])])
+            for a, b in self.rules.tolist():
+                front = [a] if a < self.base else known[a - self.base]
+                known.append(front + ([b] if b < self.base else known[b - self.base]))
             lengths = np.array([len(k) for k in known], np.int64)
             at = np.cumsum(lengths) - lengths + self.base
             # In front of them every id stands for itself.
-            flat = np.fromiter((t for k in known for t in k), np.int32, int(lengths.sum()))
+            flat = np.fromiter(chain.from_iterable(known), np.int32, int(lengths.sum()))
             self.pool = (
                 np.concatenate([np.arange(self.base, dtype=np.int32), flat]),
                 np.concatenate([np.arange(self.base), at]),
@@ -129,7 +131,7 @@ class _Pairs:
     def __init__(self, n: int, base: int):
         # Every rule saves some symbols, so there are fewer rules than symbols at first.
         self.symbol_bits, self.place_bits = (base + n // (LEAST_COUNT // 2)).bit_length(), n.bit_length()
-        self.places = [np.empty(0, np.int32)]
+        self.places = np.empty(0, np.int32)  # with room behind the first ``held``
         self.held = 0
         self.codes, self.first, self.count = (np.empty(0, np.int64) for _ in range(3))
 
@@ -148,26 +150,27 @@ class _Pairs:
         self.codes = np.concatenate([self.codes, codes[starts[often]]])
         self.first = np.concatenate([self.first, self.held + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.places.append(kept.astype(np.int32))
+        if self.held + len(kept) > len(self.places):
+            room = np.empty(self.held // 2 + len(kept), np.int32)
+            self.places = np.concatenate([self.places[: self.held], room])
+        self.places[self.held : self.held + len(kept)] = kept
         self.held += len(kept)
 
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All places of some pairs, and for each the pair's place among them."""
-        if len(self.places) > 1:
-            self.places = [np.concatenate(self.places)]
+        """All places of some pairs, pair by pair in ascending order, and for each the pair's place among them."""
         counts = self.count[numbers]
         which = np.repeat(np.arange(len(numbers)), counts)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-        return self.places[0][self.first[numbers][which] + at], which
+        at = np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts)
+        at += np.arange(len(which))
+        return self.places[at].astype(np.int64), which
 
     def keep(self, numbers: np.ndarray, places: np.ndarray, which: np.ndarray) -> None:
-        """From now on, these are the places of these pairs."""
+        """From now on, these are the places of these pairs, in the order of :meth:`of`."""
         counts = np.bincount(which, minlength=len(numbers))
         self.count[numbers] = counts
-        if len(places):
-            _, places = _together(which, places, self.place_bits)
-            at = np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts) + np.arange(len(places))
-            self.places[0][at] = places
+        at = np.repeat(self.first[numbers] - (np.cumsum(counts) - counts), counts)
+        at += np.arange(len(places))
+        self.places[at] = places
 
     def code(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return (left.astype(np.int64) << self.symbol_bits) | right
@@ -178,6 +181,20 @@ class _Pairs:
             self.codes, self.first, self.count = self.codes[alive], self.first[alive], self.count[alive]
 
 
+def _frequent_pairs(x: np.ndarray, n: int, base: int) -> _Pairs:
+    """The pairs of symbols that are left (not -1)."""
+    pairs = _Pairs(n, base)
+    left = np.flatnonzero(x[:-1] >= 0)
+    if len(left) < 2:
+        return pairs
+    symbols = x[left]
+    # A pair is at most as frequent as its bucket; those of the other buckets are not looked at.
+    bucket = _mixed_pairs(symbols[:-1], symbols[1:])
+    at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
+    pairs.add(pairs.code(symbols[at], symbols[at + 1]), left[at])
+    return pairs
+
+
 def compress(ids: np.ndarray) -> Grammar:
     """Re-Pair, with the frequent pairs of a round replaced together. Of overlapping pairs the more
     frequent one is replaced, of equal ones the leftmost; so the most frequent pair always is.
@@ -191,15 +208,7 @@ def compress(ids: np.ndarray) -> Grammar:
     following, previous = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     rules: list[np.ndarray] = []
     while True:
-        left = np.flatnonzero(x[:-1] >= 0)
-        if len(left) < 2:
-            break
-        symbols = x[left]
-        # A pair is at most as frequent as its bucket; those of the other buckets are not looked at.
-        bucket = _mixed_pairs(symbols[:-1], symbols[1:])
-        at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= LEAST_COUNT)[bucket])
-        pairs = _Pairs(n, base)
-        pairs.add(pairs.code(symbols[at], symbols[at + 1]), left[at])
+        pairs = _frequent_pairs(x, n, base)
         # Places that waited may have become frequent pairs anew: counted again until there are none.
         if not len(pairs.codes):
             break
@@ -215,36 +224,42 @@ def _replace_all(x, following, previous, pairs: _Pairs, rules: list, symbol: int
     while len(pairs.codes):
         often = np.flatnonzero(pairs.count >= max(LEAST_COUNT, int(pairs.count.max()) // STEP_DOWN))
         often = often[np.argsort(-pairs.count[often], kind="stable")]
-        at, rank = _together(*pairs.of(often), len(often).bit_length())
+        by_pair, ranks = pairs.of(often)
         left, right = (c.astype(np.int32) for c in np.divmod(pairs.codes[often], 1 << pairs.symbol_bits))
-        there = (x[at] == left[rank]) & (x[following[at]] == right[rank])
-        at, rank = at[there], rank[there]
+        # From the left; ``order`` leads back to the order by pair.
+        at, order = _together(by_pair, np.arange(len(by_pair)), len(by_pair).bit_length())
+        rank, behind = ranks[order], following[at]
+        there = np.flatnonzero((x[at] == left[rank]) & (x[behind] == right[rank]))
+        at, order, rank, behind = at[there], order[there], rank[there], behind[there]
         # Places of pairs that overlap a more frequent one wait for a later round.
-        touch = following[at[:-1]] == at[1:]
+        touch = behind[:-1] == at[1:]
         stays = np.ones(len(at), bool)
         stays[1:] &= ~(touch & (rank[1:] > rank[:-1]))
         stays[:-1] &= ~(touch & (rank[:-1] > rank[1:]))
         chosen = np.flatnonzero(stays)
-        if len(chosen):
-            new_run = np.concatenate([[True], following[at[chosen[:-1]]] != at[chosen[1:]]])
+        in_run = behind[chosen[:-1]] == at[chosen[1:]]
+        if in_run.any():
             number = np.arange(len(chosen))
-            chosen = chosen[(number - number[new_run][np.cumsum(new_run) - 1]) % 2 == 0]
+            first = number.copy()
+            first[1:][in_run] = 0
+            chosen = chosen[(number - np.maximum.accumulate(first)) % 2 == 0]
         # So do pairs of which too few places are left.
         enough = np.bincount(rank[chosen], minlength=len(often)) >= LEAST_COUNT
         if not enough.any() and len(chosen):
             counts = np.bincount(rank, minlength=len(often))
             enough[0] = counts[0] >= LEAST_COUNT
         chosen = chosen[enough[rank[chosen]]]
-        waits = np.ones(len(at), bool)
-        waits[chosen] = False
-        pairs.keep(often, at[waits], rank[waits])
-        at, rank = at[chosen], rank[chosen]
+        waits = np.zeros(len(by_pair), bool)
+        waits[order] = True
+        waits[order[chosen]] = False
+        pairs.keep(often, by_pair[waits], ranks[waits])
+        at, rank, gone = at[chosen], rank[chosen], behind[chosen]
         if len(at):
-            used, renumbered = np.unique(rank, return_inverse=True)
+            is_used = np.bincount(rank, minlength=len(often)) > 0
+            used = np.flatnonzero(is_used)
             rules.append(np.column_stack([left[used], right[used]]))
-            gone = following[at]
             behind = following[gone]
-            x[at], x[gone] = symbol + renumbered, -1
+            x[at], x[gone] = (symbol - 1 + np.cumsum(is_used))[rank], -1
             following[at] = behind
             previous[behind] = at
             symbol += len(used)

@@ -37,6 +37,22 @@ def test_pieces_give_the_ids_of_whole_texts(name):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == plain_ids(texts, name)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_pass_the_normalizer_by(name, monkeypatch):
+    random.seed(3)
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    words = ["".join(random.choices(letters, k=random.randint(1, 20))) for _ in range(5000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 5000, 50)]
+    texts += ["Eins, Été ×é µm ªº", "a\tb\nc É é", " don't  stop", "é̈ <|endoftext|> x É"]
+    encoder = Encoder(tokenizer_path(name))
+    seen, ids_of = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda part: seen.extend(part) or ids_of(part))
+    ids, at = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == plain_ids(texts, name)
+    # Only what is no blank and a word is read as text: the first words, and the few odd pieces.
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 10
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
